@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from tether.llm import queries_dedup as d
 from tether.llm import queries_tables as t
 
 
 def queries():
     return {
+        "op1_minhash_dedup": d.op1_minhash_dedup,
         "op2_language_id": t.op2_language_id,
         "op4_entropy_mix": t.op4_entropy_mix,
     }
