@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from tether.llm import queries_dedup as d
 from tether.llm import queries_tables as t
+from tether.llm import queries_tokens as k
 
 
 def queries():
     return {
         "op1_minhash_dedup": d.op1_minhash_dedup,
         "op2_language_id": t.op2_language_id,
+        "op3_best_fit_packing": k.op3_best_fit_packing,
         "op4_entropy_mix": t.op4_entropy_mix,
+        "op10_edit_aware_counts": k.op10_edit_aware_counts,
     }
 
 
