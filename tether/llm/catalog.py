@@ -13,6 +13,7 @@ def queries():
         "op2_language_id": t.op2_language_id,
         "op3_best_fit_packing": k.op3_best_fit_packing,
         "op4_entropy_mix": t.op4_entropy_mix,
+        "op7_int8_embedding_dedup": d.op7_int8_embedding_dedup,
         "op10_edit_aware_counts": k.op10_edit_aware_counts,
     }
 
