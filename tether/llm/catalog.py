@@ -13,6 +13,8 @@ def queries():
         "op2_language_id": t.op2_language_id,
         "op3_best_fit_packing": k.op3_best_fit_packing,
         "op4_entropy_mix": t.op4_entropy_mix,
+        "op5_rule_quality": t.op5_rule_quality,
+        "op6_interleaved_media": t.op6_interleaved_media,
         "op7_int8_embedding_dedup": d.op7_int8_embedding_dedup,
         "op10_edit_aware_counts": k.op10_edit_aware_counts,
     }
