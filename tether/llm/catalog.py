@@ -16,6 +16,7 @@ def queries():
         "op5_rule_quality": t.op5_rule_quality,
         "op6_interleaved_media": t.op6_interleaved_media,
         "op7_int8_embedding_dedup": d.op7_int8_embedding_dedup,
+        "op8_suffix_dedup": d.op8_suffix_dedup,
         "op10_edit_aware_counts": k.op10_edit_aware_counts,
     }
 
