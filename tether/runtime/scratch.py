@@ -7,6 +7,7 @@ Iterative operators cut their lineage by writing a Parquet table to the folder t
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -53,3 +54,8 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             self._delete(t._scratch_path)
+
+    def settle(self) -> None:
+        """Lets go of the shuffle files of tables that are written by now; Spark frees them when it collects garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
