@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tether.llm import queries_chat as c
 from tether.llm import queries_dedup as d
 from tether.llm import queries_tables as t
 from tether.llm import queries_tokens as k
@@ -17,6 +18,7 @@ def queries():
         "op6_interleaved_media": t.op6_interleaved_media,
         "op7_int8_embedding_dedup": d.op7_int8_embedding_dedup,
         "op8_suffix_dedup": d.op8_suffix_dedup,
+        "op9_tool_call_chat": c.op9_tool_call_chat,
         "op10_edit_aware_counts": k.op10_edit_aware_counts,
     }
 
