@@ -20,6 +20,10 @@ def l2_normalize(v: Column, epsilon: float = 1e-8) -> Column:
     return F.transform(v, lambda x: x / n)
 
 
+def scale(v: Column, factor: Column) -> Column:
+    return F.transform(v, lambda x: x * factor)
+
+
 def balance_streams(df: DataFrame, proportions: dict[str, float], epsilon: float = 1e-8) -> DataFrame:
     """Scales each stream (a vector column) by sqrt(proportion / (mean energy + epsilon)).
 
@@ -30,6 +34,5 @@ def balance_streams(df: DataFrame, proportions: dict[str, float], epsilon: float
     means = df.agg(*[F.avg(energy(F.col(k))).alias(f"_{k}") for k in present])
     out = df.crossJoin(F.broadcast(means))  # one row
     for k, p in present.items():
-        factor = F.sqrt(F.lit(p / total) / (F.col(f"_{k}") + F.lit(epsilon)))
-        out = out.withColumn(k, F.transform(F.col(k), lambda x, f=factor: x * f))
+        out = out.withColumn(k, scale(F.col(k), F.sqrt(F.lit(p / total) / (F.col(f"_{k}") + F.lit(epsilon)))))
     return out.drop(*[f"_{k}" for k in present])

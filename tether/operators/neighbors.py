@@ -62,7 +62,7 @@ def mutual_ranks(vectors: DataFrame, k: int) -> DataFrame:
     e = nearest(vectors, k, with_self=True)
     f = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("similarity").alias("s2"), F.col("rank").alias("r2"))
     both = e.join(f, ["src", "dst"]).where("src < dst")
-    return both.select("src", "dst", F.round(((F.col("similarity") + F.col("s2")) / 2) / (F.col("rank") + F.col("r2") + 2), 6).alias("weight"))
+    return both.select("src", "dst", F.round(((F.col("similarity") + F.col("s2")) / 2) / (F.col("rank") + F.col("r2") + 2), 9).alias("weight"))
 
 
 def edges_within(neighbors: DataFrame, distance: float) -> DataFrame:

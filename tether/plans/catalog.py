@@ -303,7 +303,7 @@ def review_flags(spark, d):
     return flagged(spark, d).select("rec_id", "needs_review", "review_reason")
 
 
-@query(lambda: Query().flagged().select("select unnest(string_split(review_reason, ',')) as reason, count(*) as records from fl where needs_review group by all"))
+@query(lambda: Query().flagged().select("select reason, count(*) as records from (select unnest(string_split(review_reason, ',')) as reason from fl where needs_review) group by all"))
 def review_reason_counts(spark, d):
     return score.reason_counts(flagged(spark, d))
 
@@ -397,7 +397,7 @@ def edge_list(spark, d):
     return neighbors.edges_within(neighbors.nearest(vectors_of(spark, d), 10), 0.7)
 
 
-@query(lambda: _knn(10, "true").select("select x.src, x.dst, round(((x.similarity + y.similarity) / 2) / (x.rank + y.rank + 2), 6) as weight from nn x join nn y on x.src = y.dst and x.dst = y.src where x.src < x.dst"))
+@query(lambda: _knn(10, "true").select("select x.src, x.dst, round(((x.similarity + y.similarity) / 2) / (x.rank + y.rank + 2), 9) as weight from nn x join nn y on x.src = y.dst and x.dst = y.src where x.src < x.dst"))
 def mutual_rank_graph(spark, d):
     return neighbors.mutual_ranks(vectors_of(spark, d), 10)
 
@@ -464,7 +464,10 @@ def label_ensemble(spark, d):
     return neighbors.ensemble_labels(rows)
 
 
-@query(lambda: Query().add("u", _UNIT).select("select id, round(list_sum(list_transform(vec, lambda x: x * sqrt(0.45 / 0.85 / ((select avg(list_inner_product(vec, vec)) from u) + 1e-8)))), 6) as semantic, round(list_sum(list_transform(vec, lambda x: 2 * x * sqrt(0.4 / 0.85 / ((select avg(4 * list_inner_product(vec, vec)) from u) + 1e-8)))), 6) as tfidf from u"))
+@query(
+    lambda: Query().add("u", _UNIT).add("m", "select avg(list_inner_product(vec, vec)) as e from u")
+    .select("select id, round(list_sum(vec) * sqrt(0.45 / 0.85 / (e + 1e-8)), 6) as semantic, round(2 * list_sum(vec) * sqrt(0.4 / 0.85 / (4 * e + 1e-8)), 6) as tfidf from u cross join m")
+)
 def stream_energy_balance(spark, d):
     rows = vectors_of(spark, d).select("id", F.col("vec").alias("semantic"), F.transform("vec", lambda x: 2 * x).alias("tfidf"))
     out = vectors.balance_streams(rows, CFG.modeling.stream_proportions)

@@ -72,7 +72,7 @@ class Query:
         """{p}w(by, s, g, df, w) of the distinct strings of ``strings``, which selects (by, s)."""
         b, on = (f"{by}, ", f"and x.{by} = y.{by}") if by else ("", "")
         self.add(f"{p}s", f"select distinct {b}s from ({strings})")
-        self.add(f"{p}t", f"select {b}s, substr(lower(s), i, k) as g, count(*) as tf from {p}s, unnest([3, 4, 5]) as kk(k), unnest(generate_series(1, length(s) - k + 1)) as ii(i) group by all")
+        self.add(f"{p}t", f"select {b}s, substr(z, i, k) as g, count(*) as tf from (select *, {sub('lower(s)', r'\s+', ' ')} as z from {p}s), unnest([3, 4, 5]) as kk(k), unnest(generate_series(1, length(z) - k + 1)) as ii(i) group by all")
         self.add(f"{p}d", f"select {b}g, count(*) as df from {p}t group by all having count(*) >= {min_df}")
         self.add(f"{p}n", f"select {b}count(*) as n from {p}s group by all" if by else f"select count(*) as n from {p}s")
         tf = "1.0 + ln(tf)" if sublinear else "tf"
@@ -179,7 +179,7 @@ class Query:
         self.applied().add("a0", "select *, lower(canonical_name) as lowered, lower(coalesce(company_name, '')) as entity from ap")
         self.scored("s1", "a0", "normalized_text", "lowered", "name_similarity").scored("s2", "s1x", "addr_normalized_key", "canonical_address", "address_confidence").scored("s3", "s2x", "entity", "lowered", "same")
         self.add("cm", "select final_cluster, count(normalized_text) as size, coalesce(stddev_samp(name_similarity), 0.0) as variation from s3x where final_cluster >= 0 group by all")
-        self.add("s4", "select t.*, coalesce(cm.size, 1) as size, coalesce(greatest(0.0, least(1.0, 1.0 - variation)), 1.0) as cohesion, round(1.0 - same, 6) as change_magnitude from s3x t left join cm using (final_cluster)")
+        self.add("s4", "select t.*, coalesce(cm.size, 1) as size, coalesce(greatest(0.0, least(1.0, 1.0 - variation)), 1.0) as cohesion, round(1.0 - same, 6) + 0.0 as change_magnitude from s3x t left join cm using (final_cluster)")
         w = CFG.scoring.weights
         base = f"(cluster_probability * {w['cluster_probability']} + name_similarity * {w['name_similarity']} + address_confidence * {w['address_confidence']} + cohesion * {w['cohesion_score']} + {SIZE_FACTOR} * {w['cluster_size_factor']})"
         base += " * case when change_magnitude > 0.5 then 0.9 else 1.0 end * case when address_was_enriched then 0.95 else 1.0 end * case when size <= 2 and change_magnitude > 0.7 then 0.85 else 1.0 end"
