@@ -10,7 +10,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tether.config import Config
-from tether.functions.text import size_factor  # noqa: F401
 from tether.operators import clustering, encode, neighbors
 from tether.operators.graph import connected_components
 from tether.operators.ngram import similarity_join
