@@ -101,8 +101,8 @@ class Query:
 
     def best_address(self, p: str, source: str, by: str) -> Query:
         """{p}(by, key, parts, freq, score)."""
-        self.add(f"{p}_f", f"select {by}, addr_normalized_key, count(*) as freq, min(({PARTS_SQL})) as m from {source} group by all")
-        cols = ", ".join(f"struct_extract_at(m, {k + 1}) as {c}" for k, c in enumerate(PARTS))
+        self.add(f"{p}_f", f"select {by}, addr_normalized_key, count(*) as freq, min((-{POINTS}, {PARTS_SQL})) as m from {source} group by all")
+        cols = ", ".join(f"struct_extract_at(m, {k + 2}) as {c}" for k, c in enumerate(PARTS))
         self.add(f"{p}_g", f"select {by}, addr_normalized_key, freq, {cols} from {p}_f")
         return self.add(p, f"select * from (select *, {POINTS} as score from {p}_g) qualify row_number() over (partition by {by} order by score desc, freq desc, addr_normalized_key) = 1")
 

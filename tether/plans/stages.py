@@ -33,9 +33,12 @@ def add_address_key(df: DataFrame) -> DataFrame:
 
 
 def best_address(df: DataFrame, by: str) -> DataFrame:
-    """One row a group: its address with most completeness points, then rows, then the first key."""
-    parts = F.struct(*[F.col(p) for p in PARTS])
-    each = df.groupBy(by, KEY).agg(F.count("*").alias("freq"), F.min(parts).alias("p")).select(by, KEY, "freq", "p.*")
+    """One row a group: its address with most completeness points, then rows, then the first key.
+
+    A key that was consolidated can have rows with different parts; the most complete ones stand for it.
+    """
+    parts = F.struct((-completeness()).alias("lacks"), *[F.col(p) for p in PARTS])
+    each = df.groupBy(by, KEY).agg(F.count("*").alias("freq"), F.min(parts).alias("p")).select(by, KEY, "freq", "p.*").drop("lacks")
     best = each.withColumn("score", completeness()).groupBy(by).agg(F.min(F.struct((-F.col("score")).alias("s"), (-F.col("freq")).alias("f"), KEY, *PARTS)).alias("b"))
     return best.select(by, F.col(f"b.{KEY}").alias(KEY), *[F.col(f"b.{p}").alias(p) for p in PARTS], (-F.col("b.f")).alias("freq"), (-F.col("b.s")).alias("score"))
 
