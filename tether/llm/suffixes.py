@@ -26,7 +26,9 @@ from tether.runtime.scratch import Scratch
 LENGTH = 100
 GRAM = 24
 #: Segments that a range of the exchange holds, on average.
-RANGE = 60_000
+RANGE = 20_000
+#: Bytes of segments and of windows' hashes that a task holds before it sends a run.
+RUN_BYTES = 16 << 20
 #: A gram with more occurrences is hot: its windows are exchanged by their own hashes, not gathered by gram.
 HOT = 4_000
 _LAST = (1 << 63) - 1
@@ -197,7 +199,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, scratch: Scratch | None
     def survey(batches):
         for batch in batches:
             n, sha, grams, times = [], [], [], []
-            for _, _, b, o in chunks(*texts_of(batch.column(1))):
+            for _, _, b, o in chunks(*texts_of(batch.column(1)), limit=1 << 20):
                 first, _, _, h = anchors(b, o, length)
                 edges = np.searchsorted(first, o)
                 data = b.tobytes()
@@ -229,48 +231,43 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, scratch: Scratch | None
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // RANGE)
 
     def sort_runs(batches):
-        def span(key: int, begin: int, end: int) -> None:
-            spans.append((key, begin, end))
-
         for batch in batches:
+            keys = batch.column(0).to_pylist()
             spans: list[tuple[int, int, int]] = []
             windows: list[tuple] = []
             local: dict[bytes, tuple[int, int]] = {}
-            keys = batch.column(0).to_pylist()
-            for i, _, b, o in chunks(*texts_of(batch.column(1))):
+            held = 0
+            for i, _, b, o in chunks(*texts_of(batch.column(1)), limit=1 << 20):
                 lo, hi, at, h = anchors(b, o, length)
                 edges = np.searchsorted(lo, o)
                 data = b.tobytes()
                 for k in range(len(o) - 1):
                     x, y, base, key = edges[k], edges[k + 1], int(o[k]), keys[i + k]
-                    for column, to in ((2, local), (3, None)):
+                    for column in (2, 3):
                         wanted = batch.column(column)[i + k].values.to_numpy()
                         if not len(wanted):
                             continue
                         own = x + np.flatnonzero(np.isin(h[x:y], wanted))
-                        if to is None:
+                        if column == 3:
                             p = np.concatenate([np.arange(a, c + 1) for a, c in zip(lo[own].tolist(), hi[own].tolist())])
                             windows.append((np.full(len(p), key), p - base, *_window_hashes(data, p, length)))
+                            held += 32 * len(p)
                             continue
                         for l, r, a, g in zip(lo[own].tolist(), hi[own].tolist(), at[own].tolist(), h[own].tolist()):
                             # the gram's hash first, so that ranges of hashes are ranges of the order
                             entry = g.to_bytes(6, "big") + data[a : r + length] + data[l:a] + bytes((a - l,))
-                            mine, known = (key, l - base), to.get(entry)
+                            mine, known = (key, l - base), local.get(entry)
                             if known is None:
-                                to[entry] = mine
+                                local[entry] = mine
+                                held += len(entry) + 150
                             elif known != mine:
                                 later = max(known, mine)
-                                to[entry] = min(known, mine)
-                                span(later[0], later[1], later[1] + r + length - l)
-            order = sorted(local)
-            part = np.array([int.from_bytes(e[:6], "big") for e in order], np.int64) * ranges >> 48 if ranges < 1 << 15 else np.array([int.from_bytes(e[:6], "big") * ranges >> 48 for e in order], np.int64)
-            rows = []
-            for p in np.unique(part).tolist():
-                i, j = np.searchsorted(part, [p, p + 1])
-                own = order[i:j]
-                where = np.array([local[e] for e in own], np.int64)
-                rows.append((int(p), *front_code(own), where.tobytes()))
-            yield _batch(rows, spans, windows)
+                                local[entry] = min(known, mine)
+                                spans.append((later[0], later[1], later[1] + r + length - l))
+                    if held >= RUN_BYTES:
+                        yield _batch(_runs(local, ranges), spans, windows, length)
+                        spans, windows, local, held = [], [], {}, 0
+            yield _batch(_runs(local, ranges), spans, windows, length)
 
     schema = "range long, lcp binary, size binary, rest binary, places binary, key long, begin long, end long, h1 long, h2 long"
     work = scratch.save(docs.join(hits, "key").select("key", "text", "grams", "hot").mapInArrow(sort_runs, schema), "runs")
@@ -309,7 +306,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, scratch: Scratch | None
                 continue
             close()
             if last is not None and known < 6:
-                flush(20_000)
+                flush(4_000)
             last, best = entry, mine
         close()
         flush(0)
@@ -335,7 +332,18 @@ def _window_hashes(data: bytes, p: np.ndarray, length: int) -> tuple[np.ndarray,
     return h[:, 0], h[:, 1]
 
 
-def _batch(rows: list[tuple], spans: list[tuple], windows: list[tuple]) -> pa.RecordBatch:
+def _runs(local: dict[bytes, tuple[int, int]], ranges: int) -> list[tuple]:
+    """A front-coded run of the segments of each range."""
+    order = sorted(local)
+    part = np.array([int.from_bytes(e[:6], "big") * ranges >> 48 for e in order], np.int64)
+    rows = []
+    for p in np.unique(part).tolist():
+        own = order[np.searchsorted(part, p) : np.searchsorted(part, p + 1)]
+        rows.append((int(p), *front_code(own), np.array([local[e] for e in own], np.int64).tobytes()))
+    return rows
+
+
+def _batch(rows: list[tuple], spans: list[tuple], windows: list[tuple], length: int) -> pa.RecordBatch:
     """Rows of runs, of spans and of hot windows in one schema; a hot window that this batch has earlier is a span."""
     if windows:
         key, begin, h1, h2 = (np.concatenate(c) for c in zip(*windows))
@@ -349,7 +357,7 @@ def _batch(rows: list[tuple], spans: list[tuple], windows: list[tuple]) -> pa.Re
         if len(k):
             cut = np.flatnonzero((np.diff(k) != 0) | (np.diff(b) != 1))
             i, j = np.append(0, cut + 1), np.append(cut, len(k) - 1)
-            spans = spans + list(zip(k[i].tolist(), b[i].tolist(), (b[j] + LENGTH).tolist()))
+            spans = spans + list(zip(k[i].tolist(), b[i].tolist(), (b[j] + length).tolist()))
         key, begin, h1, h2 = key[~again], begin[~again], h1[~again], h2[~again]
     else:
         key = begin = h1 = h2 = np.zeros(0, np.int64)
