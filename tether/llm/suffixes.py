@@ -28,7 +28,7 @@ GRAM = 24
 #: Segments that a range of the exchange holds, on average.
 RANGE = 20_000
 #: Bytes of segments and of windows' hashes that a task holds before it sends a run.
-RUN_BYTES = 16 << 20
+RUN_BYTES = 4 << 20
 #: A gram with more occurrences is hot: its windows are exchanged by their own hashes, not gathered by gram.
 HOT = 4_000
 _LAST = (1 << 63) - 1
@@ -363,16 +363,17 @@ def _batch(rows: list[tuple], spans: list[tuple], windows: list[tuple], length:
         key = begin = h1 = h2 = np.zeros(0, np.int64)
     r, s, w = len(rows), len(spans), len(key)
     run = [list(c) for c in zip(*rows)] or [[]] * 5
-    gap = lambda n: [None] * n
-    sk, sb, se = [list(c) for c in zip(*spans)] or [[]] * 3
+    span = np.array(spans, np.int64).reshape(-1, 3).T
+    gap = lambda n: pa.nulls(n, pa.int64())
+    join = lambda *parts: pa.concat_arrays([p if isinstance(p, pa.Array) else pa.array(p, pa.int64()) for p in parts])
     cols = [
-        pa.array(run[0] + gap(s + w), pa.int64()),
-        *(pa.array(c + gap(s + w), pa.binary()) for c in run[1:]),
-        pa.array(gap(r) + sk + key.tolist(), pa.int64()),
-        pa.array(gap(r) + sb + begin.tolist(), pa.int64()),
-        pa.array(gap(r) + se + gap(w), pa.int64()),
-        pa.array(gap(r + s) + h1.tolist(), pa.int64()),
-        pa.array(gap(r + s) + h2.tolist(), pa.int64()),
+        join(run[0], gap(s + w)),
+        *(pa.concat_arrays([pa.array(c, pa.binary()), pa.nulls(s + w, pa.binary())]) for c in run[1:]),
+        join(gap(r), span[0], key),
+        join(gap(r), span[1], begin),
+        join(gap(r), span[2], gap(w)),
+        join(gap(r + s), h1),
+        join(gap(r + s), h2),
     ]
     return pa.RecordBatch.from_arrays(cols, ["range", "lcp", "size", "rest", "places", "key", "begin", "end", "h1", "h2"])
 
