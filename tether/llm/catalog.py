@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tether.llm import oracles
 from tether.llm import queries_chat as c
 from tether.llm import queries_dedup as d
 from tether.llm import queries_tables as t
@@ -24,4 +25,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_minhash_dedup": oracles.OP1, "op7_int8_embedding_dedup": oracles.OP7}
