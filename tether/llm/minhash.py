@@ -7,8 +7,11 @@
    posterior of the match rate; a pair goes when P(similarity >= threshold | m, n) is below ``miss``.
 4. Survivors are confirmed on full shingle sets.
 
-A bucket is never expanded into all its pairs. First every member is compared with the bucket's first one; only members
-that these confirmed links leave in different components are then compared with each other.
+A bucket is never expanded into all its pairs. First every member is compared with the bucket's most connected one,
+which shares most with all the others and so finds the original that many copies were made from. Only members that the
+confirmed links leave in different components are then compared with each other, and of these only pairs in which both
+have enough shingles that occur in some other such document: a pair cannot share more than either has. The first batches of the signature
+travel with the members, so that a join keeps only the pairs that these leave possible.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tether.llm.kernels import chunks, mix, shingle_sets, texts_of
@@ -35,6 +38,8 @@ class Settings:
     rows: int = 5
     batch: int = 25
     miss: float = 1e-6
+    #: 64-bit words of the signature, 8 minima each, that the bucket joins compare.
+    head: int = 5
 
     @property
     def hashes(self) -> int:
@@ -78,7 +83,7 @@ def sign(docs: DataFrame, s: Settings) -> DataFrame:
         mul, add = seeds(s.hashes)
         salt = mix(np.arange(1, s.bands + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
         for batch in batches:
-            ids, n, d1, d2, sig, keys = batch.column(0).to_pylist(), [], [], [], [], []
+            ids, n, d1, d2, sig, keys, heads = batch.column(0).to_pylist(), [], [], [], [], [], []
             for i, _, b, o in chunks(*texts_of(batch.column(1))):
                 for k, items in enumerate(shingle_sets(b, o, s.width)):
                     n.append(len(items))
@@ -87,11 +92,13 @@ def sign(docs: DataFrame, s: Settings) -> DataFrame:
                         d2.append(ids[i + k] or 0)
                         sig.append(b"")
                         keys.append(np.zeros(0, np.int64))
+                        heads.append(np.zeros(s.head, np.int64))
                         continue
                     d1.append(int(items.sum(dtype=np.uint64).astype(np.int64)))
                     d2.append(int(mix(items ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)))
                     low = signature(items, mul, add)
                     sig.append(low.astype(np.uint8).tobytes())
+                    heads.append(np.frombuffer(sig[-1], np.int64, s.head))
                     acc = salt.copy()
                     for row in low.reshape(s.bands, s.rows).T:
                         acc = mix(acc ^ row)
@@ -99,11 +106,27 @@ def sign(docs: DataFrame, s: Settings) -> DataFrame:
             sizes = np.array([0, *map(len, keys)]).cumsum().astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))],
-                ["doc_id", "n_shingles", "d1", "d2", "sig", "bands"],
+                [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat)), *(pa.array(c) for c in np.array(heads, np.int64).reshape(-1, s.head).T)],
+                ["doc_id", "n_shingles", "d1", "d2", "sig", "bands", *heads_of(s)],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sig binary, bands array<long>")
+    schema = "doc_id long, n_shingles long, d1 long, d2 long, sig binary, bands array<long>, " + ", ".join(f"{c} long" for c in heads_of(s))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+
+
+def heads_of(s: Settings, prefix: str = "h") -> list[str]:
+    return [f"{prefix}{k}" for k in range(s.head)]
+
+
+def possible(s: Settings, x: str, y: str) -> Column:
+    """Whether the words ``x0, x1, ...`` and ``y0, y1, ...`` agree in as many minima as the posterior asks for."""
+    missed = F.lit(0)
+    for a, b in zip(heads_of(s, x), heads_of(s, y)):
+        d = F.col(a).bitwiseXOR(F.col(b))
+        for shift in (4, 2, 1):  # the lowest bit of each byte becomes whether any of its bits differs
+            d = d.bitwiseOR(F.shiftrightunsigned(d, shift))
+        missed = missed + F.bit_count(d.bitwiseAND(F.lit(0x0101010101010101)))
+    return missed <= 8 * s.head - least_matches(8 * s.head, s)
 
 
 def prune(pairs: DataFrame, sigs: DataFrame, s: Settings) -> DataFrame:
@@ -154,6 +177,21 @@ def verify(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "src long, dst long")
 
 
+def common_shingles(texts: DataFrame, s: Settings) -> DataFrame:
+    """(node, size, common): the shingles of each text, and how many of them another text has too."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [x.view(np.int64) for _, _, b, o in chunks(*texts_of(batch.column(1))) for x in shingle_sets(b, o, s.width)]
+            ends = np.array([0, *map(len, sets)]).cumsum().astype(np.int32)
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "items"])
+
+    each = texts.dropDuplicates(["doc_id"]).mapInArrow(run, "node long, items array<long>").select("node", F.explode("items").alias("item"))
+    several = each.groupBy("item").agg((F.count("*") > 1).cast("int").alias("again"))
+    return each.join(several, "item").groupBy("node").agg(F.count("*").alias("size"), F.sum("again").alias("common"))
+
+
 def near_duplicates(docs: DataFrame, s: Settings = Settings(), scratch: Scratch | None = None) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of each row of ``docs(doc_id, text, ...)``.
 
@@ -166,22 +204,29 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), scratch: Scratch
     signed = scratch.save(sign(docs, s), "signed")
     slim = signed.select("doc_id", "n_shingles", "d1", "d2")
     classes = scratch.save(slim.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("node")), "classes")
-    nodes = signed.select("doc_id", "d1", "d2", "sig", "bands").join(classes, ["d1", "d2"]).where("doc_id = node").dropDuplicates(["d1", "d2"])
-    nodes = scratch.save(nodes.select("node", "sig", "bands"), "nodes")
+    heads = heads_of(s)
+    nodes = signed.select("doc_id", "d1", "d2", "sig", "bands", *heads).join(classes, ["d1", "d2"]).where("doc_id = node").dropDuplicates(["d1", "d2"])
+    nodes = scratch.save(nodes.select("node", "sig", "bands", *heads), "nodes")
 
     bands = nodes.select(F.explode("bands").alias("key"), "node")
-    shared = bands.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
-    members = scratch.save(bands.join(shared.select("key", "first"), "key"), "members")
-    star = members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    likely = scratch.save(prune(star, nodes, s), "likely")
+    shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    plain = scratch.save(bands.join(shared, "key"), "members")
+    scratch.settle()
+    known = plain.groupBy("node").agg(F.sum("n").alias("known")).join(nodes.select("node", *heads).dropDuplicates(["node"]), "node")
+    members = scratch.save(plain.select("key", "node").join(known, "node"), "members")
+    centre = members.groupBy("key").agg(F.max(F.struct("known", (-F.col("node")).alias("neg"), *heads)).alias("c"))
+    centre = centre.select("key", (-F.col("c.neg")).alias("first"), *[F.col(f"c.{h}").alias(f"c{h}") for h in heads])
+    star = members.join(centre, "key").where((F.col("node") != F.col("first")) & possible(s, "h", "ch"))
+    likely = scratch.save(prune(star.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), nodes, s), "likely")
+    scratch.settle()
 
     # the likeliest partner of each document first: most groups are joined by these links alone
     best = likely.groupBy("b").agg(F.max_by("a", F.struct("matches", -F.col("a"))).alias("a")).select("a", "b")
-    wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct()
     source = docs.select(F.col("doc_id").cast("long"), "text")
-    texts = scratch.save(source.join(wanted, "doc_id", "left_semi"), "texts")
+    texts = scratch.save(source.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
     links = scratch.save(verify(best, texts, s), "links")
     groups = scratch.save(connected_components(links, scratch), "groups")
+    scratch.settle()
 
     def label(pairs: DataFrame) -> DataFrame:
         for c in ("a", "b"):
@@ -191,19 +236,33 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), scratch: Scratch
 
     rest = label(likely.join(best, ["a", "b"], "left_anti"))
     g = groups.select(F.col("vertex").alias("node"), F.col("component_id").alias("g"))
-    tagged = members.join(g, "node", "left").select("key", "node", "first", F.coalesce("g", "node").alias("g"))
+    tagged = scratch.save(members.join(g, "node", "left").withColumn("g", F.coalesce("g", "node")), "tagged")
     mixed = tagged.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1").select("key")
-    open_ = scratch.save(tagged.join(mixed, "key", "left_semi").where("node <> first").select("key", "node", "g"), "open")
-    x, y = (open_.select("key", F.col("node").alias(c), F.col("g").alias(f"g{c}")) for c in "ab")
-    across = x.join(y, "key").where("a < b and ga <> gb").select("a", "b").distinct()
+    open_ = scratch.save(tagged.join(mixed, "key", "left_semi").join(nodes.select("node", "bands").dropDuplicates(["node"]), "node"), "open")
+    whole = s.numerator + s.denominator
+    alive = open_.select("node").distinct()
+    for _ in range(2):  # shingles of documents that the first count rules out do not count the second time
+        some = texts.join(alive.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+        shared = scratch.save(common_shingles(some, s), "common")
+        rows = open_.select("key", "node").join(shared, "node")
+        low = rows.groupBy("key").agg(F.min("size").alias("low"))
+        alive = rows.join(low, "key").where(whole * F.col("common") >= s.numerator * (F.col("size") + F.col("low"))).select("node").distinct()
+        alive = scratch.save(alive, "alive")
+    open_ = scratch.save(open_.join(alive, "node", "left_semi").join(shared, "node").withColumn("before", F.expr("slice(bands, 1, cast(array_position(bands, key) as int) - 1)")).drop("bands"), "open")
+    scratch.settle()
+    cols = [*heads, "g", "size", "common", "before"]
+    x, y = (open_.select("key", F.col("node").alias(c), *[F.col(h).alias(f"{c}{h}") for h in cols]) for c in "ab")
+    enough = whole * F.least("acommon", "bcommon") >= s.numerator * (F.col("asize") + F.col("bsize"))
+    # a pair that shares several buckets is made in the first of them alone
+    once = ~F.arrays_overlap("abefore", "bbefore")
+    across = x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("ag") != F.col("bg")) & enough & possible(s, "ah", "bh") & once).select("a", "b")
     across = scratch.save(prune(across, nodes, s).select("a", "b"), "across")
-    more = scratch.save(rest.union(across.join(likely.select("a", "b"), ["a", "b"], "left_anti")).distinct(), "more")
-    lacking = more.select(F.col("a").alias("doc_id")).union(more.select(F.col("b").alias("doc_id"))).distinct()
-    texts2 = scratch.save(source.join(lacking, "doc_id", "left_semi"), "texts")
-    links2 = scratch.save(verify(more, texts2, s), "links")
+    more = scratch.save(rest.union(across).distinct(), "more")
+    links2 = scratch.save(verify(more, texts, s), "links")
     final = connected_components(groups.select(F.col("vertex").alias("src"), F.col("component_id").alias("dst")).union(links2), scratch)
     final = scratch.save(final, "final")
-    scratch.drop(nodes, members, likely, texts, texts2, open_, across)
+    scratch.drop(nodes, plain, members, likely, texts, tagged, open_, across)
+    scratch.settle()
 
     named = classes.join(final, F.col("node") == F.col("vertex"), "left").select("d1", "d2", F.coalesce("component_id", "node").alias("c"))
     out = slim.join(named, ["d1", "d2"], "left")
