@@ -215,7 +215,7 @@ def merge_fuzzy(spark, d):
     lambda: _identical().select("select rec_id, coalesce(w.winner, i.k) as k from i left join w on w.loser = i.k")
 )
 def consolidate_identical(spark, d):
-    rows = clustered(spark, d).where("rec_id % 41 = 1").withColumn("k", (F.col("rec_id") % 23).cast("bigint"))
+    rows = clustered(spark, d).withColumn("k", (F.col("rec_id") % 23).cast("bigint"))
     return stages.consolidate_identical(prepared(rows), "k").select("rec_id", "k")
 
 
