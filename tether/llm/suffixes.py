@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tether.llm.kernels import Rolling, chunks, texts_of
@@ -31,7 +31,8 @@ RANGE = 20_000
 RUN_BYTES = 4 << 20
 #: A gram with more occurrences is hot: its windows are exchanged by their own hashes, not gathered by gram.
 HOT = 4_000
-_LAST = (1 << 63) - 1
+#: What tells documents apart, in their order: no doc_id, doc_id, digest of the text.
+SELF = ["none", "id", "sha"]
 
 
 def anchors(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
@@ -176,36 +177,36 @@ def repeated_windows(segments: list[tuple[bytes, int, int]], length: int = LENGT
 
 @dataclass(frozen=True)
 class Repeats:
-    """``docs(key, n_bytes, sha, first)`` of each row, and ``spans(key, spans)`` of the first documents of their text."""
+    """``docs(none, id, sha, n_bytes, n_rows, key, first)`` of each document, and ``spans(key, spans)`` of the first of their text."""
 
     docs: DataFrame
     spans: DataFrame
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("key"), "text")
+def _self() -> list[Column]:
+    id = F.col("doc_id").cast("long")
+    return [id.isNull().alias("none"), F.coalesce(id, F.lit(0)).alias("id"), F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("sha")]
 
 
 def find_repeats(docs: DataFrame, length: int = LENGTH, scratch: Scratch | None = None) -> Repeats:
     """What to remove from each text of ``docs(doc_id, text, ...)``.
 
-    Null texts are empty. Order is by doc_id, a null doc_id last, then by start; rows with one doc_id are one document,
-    and equal rows of it have the same result. Texts below ``length`` bytes lose nothing.
+    Null texts are empty. Order is by doc_id, a null doc_id last, then by the text's digest, then by start; rows with
+    one doc_id (or none) and one text are one document and have the same result, while different texts under one
+    doc_id are different documents. Texts below ``length`` bytes lose nothing.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
-    docs = _keyed(docs)
+    docs = docs.select(*_self(), "text")
 
     def survey(batches):
         for batch in batches:
-            n, sha, grams, times = [], [], [], []
-            for _, _, b, o in chunks(*texts_of(batch.column(1)), limit=1 << 20):
+            n, grams, times = [], [], []
+            for _, _, b, o in chunks(*texts_of(batch.column(3)), limit=1 << 20):
                 first, _, _, h = anchors(b, o, length)
                 edges = np.searchsorted(first, o)
-                data = b.tobytes()
                 for x, y, i, j in zip(o[:-1].tolist(), o[1:].tolist(), edges[:-1].tolist(), edges[1:].tolist()):
                     n.append(y - x)
-                    sha.append(hashlib.sha256(data[x:y]).digest())
                     g, c = np.unique(h[i:j], return_counts=True)
                     grams.append(g)
                     times.append(c)
@@ -214,18 +215,21 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, scratch: Scratch | None
             count = np.concatenate(times) if times else np.zeros(0, np.int64)
             # a gram's hash in the upper bits, and whether it occurs again in its document
             packed = flat << 1 | (count > 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.binary()), pa.ListArray.from_arrays(sizes, pa.array(packed.astype(np.int64)))], ["key", "n_bytes", "sha", "grams"])
-
-    seen = scratch.save(docs.mapInArrow(survey, "key long, n_bytes long, sha binary, grams array<long>"), "survey")
-    first = seen.groupBy("sha").agg(F.min("key").alias("first"))
-    slim = scratch.save(seen.select("key", "n_bytes", "sha").join(first, "sha"), "slim")
-    firsts = slim.where(F.col("n_bytes") >= length).where("key = first").select("key").distinct()
-    each = seen.select("key", "grams").join(firsts, "key", "left_semi").select("key", F.explode("grams").alias("g"))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.ListArray.from_arrays(sizes, pa.array(packed.astype(np.int64)))], [*SELF, "n_bytes", "grams"])
+
+    seen = scratch.save(docs.mapInArrow(survey, "none boolean, id long, sha binary, n_bytes long, grams array<long>"), "survey")
+    each = seen.groupBy(*SELF).agg(F.min("n_bytes").alias("n_bytes"), F.count("*").alias("n_rows"))
+    # in sorted partitions these ids are in the order of the documents
+    keys = scratch.save(each.orderBy(*SELF).withColumn("key", F.monotonically_increasing_id()), "keys")
+    first = keys.groupBy("sha").agg(F.min("key").alias("first"))
+    slim = scratch.save(keys.join(first, "sha"), "slim")
+    firsts = slim.where(F.col("n_bytes") >= length).where("key = first").select("key", *SELF)
+    each = seen.join(firsts, SELF).select("key", F.explode("grams").alias("g"))
     each = each.select("key", F.shiftright("g", 1).alias("gram"), (F.col("g") % 2).alias("again"))
     counts = each.groupBy("gram").agg((F.count("*") + F.max("again")).alias("n")).where("n > 1")
     hits = each.join(counts, "gram").groupBy("key").agg(F.collect_set(F.when(F.col("n") <= HOT, F.col("gram"))).alias("grams"), F.collect_set(F.when(F.col("n") > HOT, F.col("gram"))).alias("hot"))
-    hits = scratch.save(hits, "hits")
-    scratch.drop(seen)
+    hits = scratch.save(hits.join(firsts, "key"), "hits")
+    scratch.drop(seen, keys)
     scratch.settle()
     total = hits.agg(F.sum(F.size("grams"))).first()[0] or 0
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // RANGE)
@@ -270,7 +274,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, scratch: Scratch | None
             yield _batch(_runs(local, ranges), spans, windows, length)
 
     schema = "range long, lcp binary, size binary, rest binary, places binary, key long, begin long, end long, h1 long, h2 long"
-    work = scratch.save(docs.join(hits, "key").select("key", "text", "grams", "hot").mapInArrow(sort_runs, schema), "runs")
+    work = scratch.save(docs.join(hits, SELF).select("key", "text", "grams", "hot").mapInArrow(sort_runs, schema), "runs")
     scratch.settle()
 
     def merge_runs(table: pa.Table) -> pa.Table:
@@ -409,12 +413,13 @@ def removed(docs: DataFrame, found: Repeats, length: int = LENGTH) -> DataFrame:
             cols = [list(c) for c in zip(*rows)] or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["key", "r", "s", "sha2"])
 
-    cut = _keyed(docs).join(found.spans, "key").select("key", "text", "spans").mapInArrow(run, "key long, r long, s long, sha2 string").dropDuplicates(["key"])
+    spans = found.spans.join(found.docs.select("key", *SELF), "key")
+    cut = docs.select(*_self(), "text").join(spans, SELF).select("key", "text", "spans").mapInArrow(run, "key long, r long, s long, sha2 string").dropDuplicates(["key"])
     copy = (F.col("key") > F.col("first")) & (F.col("n_bytes") >= length)
-    out = found.docs.join(cut, "key", "left")
+    out = found.docs.join(cut, "key", "left").withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("n_rows"))))
     pick = lambda whole, part, none: F.when(copy, whole).otherwise(F.coalesce(part, none))
     return out.select(
-        F.when(F.col("key") < _LAST, F.col("key")).alias("doc_id"),
+        F.when(~F.col("none"), F.col("id")).alias("doc_id"),
         "n_bytes",
         pick(F.col("n_bytes"), F.col("r"), F.lit(0)).cast("long").alias("n_removed"),
         pick(F.lit(1), F.col("s"), F.lit(0)).cast("long").alias("n_spans"),
@@ -439,9 +444,11 @@ def kept_texts(docs: DataFrame, found: Repeats, length: int = LENGTH) -> DataFra
             cols = [*batch.columns[:spot], pa.array(texts, pa.string()), *batch.columns[spot + 1 : len(names)]]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("_key")
-    copies = found.docs.where((F.col("key") > F.col("first")) & (F.col("n_bytes") >= length)).select(F.col("key").alias("_key")).distinct()
-    alive = docs.withColumn("_key", key).join(copies, "_key", "left_anti").join(found.spans.withColumnRenamed("key", "_key").withColumnRenamed("spans", "_spans"), "_key", "left")
+    mine = [f"_{c}" for c in SELF]
+    own = [F.col(c).alias(f"_{c}") for c in SELF]
+    copies = found.docs.where((F.col("key") > F.col("first")) & (F.col("n_bytes") >= length)).select(*own)
+    spans = found.spans.join(found.docs.select("key", *own), "key").select(*mine, F.col("spans").alias("_spans"))
+    alive = docs.select("*", *[c.alias(m) for c, m in zip(_self(), mine)]).join(copies, mine, "left_anti").join(spans, mine, "left")
     out = alive.select(*[F.col(f"`{c}`") for c in names], "_spans")
     cut = out.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes))
     if "n_chars" not in names:
