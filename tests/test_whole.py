@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from tether.llm import suffixes
+from tether.operators import reduction
 from tether.plans import catalog
 
 
@@ -79,3 +80,15 @@ def test_texts_without_an_id_or_with_one_id_are_documents_of_their_own(spark, mo
     assert sorted(kept, key=str) == sorted(((r[0], left[r]) for r in texts if left[r]), key=str)
     got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in suffixes.removed(df, found).collect()]
     assert sorted(got, key=str) == sorted(((r[0], len(r[1]), len(r[1]) - len(left[r]), digest(left[r]).hex()) for r in texts), key=str)
+
+
+def test_consensus_embedding_is_fitted_on_every_vector(spark, tmp_path):
+    x = np.random.default_rng(8).normal(size=(600, 64)).round(3)
+    spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    unit = lambda v: v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-8)
+    one, two = unit(x.astype(np.float32).astype(float)), unit(x[:, :32].astype(np.float32).astype(float))
+    value, vector = np.linalg.eigh(reduction.center_kernel((one @ one.T + two @ two.T) / 2))
+    want = unit((vector * np.sqrt(np.maximum(value, 0)))[:, ::-1][:, :48])
+    got = np.array([r["vec"] for r in catalog.queries()["consensus_embedding"](spark, str(tmp_path)).orderBy("id").collect()])
+    sign = np.sign((want * got).sum(axis=0))
+    assert got.shape == (600, 48) and np.allclose(got, want * sign, atol=2e-5)

@@ -9,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tether.config import Config
+
+MODELING = Config().modeling
+
 
 @dataclass(frozen=True)
 class Projection:
@@ -89,11 +93,6 @@ def center_kernel(k: np.ndarray) -> np.ndarray:
     return (out + out.T) / 2
 
 
-def center_rows(k: np.ndarray, anchor_means: np.ndarray, grand: float) -> np.ndarray:
-    """The same for rows of new points against the anchors."""
-    return k - k.mean(axis=1)[:, None] - anchor_means + grand
-
-
 def positive_pairs(k: np.ndarray, dims: int, floor: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
     """The leading eigenpairs above ``floor``, filled up with zeros to ``dims``."""
     value, vector = _axes(k, dims)
@@ -103,28 +102,36 @@ def positive_pairs(k: np.ndarray, dims: int, floor: float = 1e-6) -> tuple[np.nd
     return out_v, out_x
 
 
+def _joint(batch, names: list[str], epsilon: float) -> np.ndarray:
+    """All members side by side, each of unit length and scaled, so that inner products are mean cosines."""
+    parts = []
+    for name in names:
+        v = batch.column(name)
+        v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
+        x = np.array(v.flatten()).reshape(len(v), -1)
+        parts.append(x / (np.linalg.norm(x, axis=1, keepdims=True) + epsilon) / np.sqrt(len(names)))
+    return np.concatenate(parts, axis=1)
+
+
 @dataclass(frozen=True)
 class Consensus:
-    """Anchors of each member, kernel means and scaled eigenvectors of their mean cosine kernel."""
+    """The anchors' mean and the kernel's axes, both in the space of all members side by side.
 
-    anchors: dict[str, np.ndarray]
-    means: np.ndarray
-    grand: float
-    scaled: np.ndarray
+    The mean cosine kernel is the inner product of that space, so a row's centred kernel against the anchors, times
+    the scaled eigenvectors, is (row - mean) @ axes, however many anchors there are.
+    """
+
+    names: tuple[str, ...]
+    mean: np.ndarray
+    axes: np.ndarray
 
     def apply(self, df: DataFrame, epsilon: float = 1e-8) -> DataFrame:
         """``id, vec``: every row's mean cosines to the anchors, centred, projected and of unit length."""
-        names, me = list(self.anchors), self
+        names, mean, axes = list(self.names), self.mean, self.axes
 
         def run(batches):
             for batch in batches:
-                k = 0.0
-                for i, name in enumerate(names):
-                    v = batch.column(i + 1)
-                    x = np.array(v.flatten()).reshape(len(v), -1) if len(v) else np.zeros((0, me.anchors[name].shape[1]))
-                    x = x / (np.linalg.norm(x, axis=1, keepdims=True) + epsilon)
-                    k = k + x @ me.anchors[name].T / len(names)
-                z = center_rows(k, me.means, me.grand) @ me.scaled
+                z = (_joint(batch, names, epsilon) - mean) @ axes if len(batch) else np.zeros((0, axes.shape[1]))
                 z = z / (np.linalg.norm(z, axis=1, keepdims=True) + epsilon)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(z) + 1, dtype=np.int32) * z.shape[1]), pa.array(z.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["id", "vec"])
@@ -132,17 +139,23 @@ class Consensus:
         return df.select("id", *[F.col(n).cast("array<double>") for n in names]).mapInArrow(run, "id long, vec array<double>")
 
 
-def consensus(df: DataFrame, members: list[str], dims: int = 48, anchors: int = 2048, epsilon: float = 1e-8) -> Consensus:
-    """Kernel PCA of the mean cosine kernel of several embeddings over at most ``anchors`` rows, taken by hash of id."""
+def consensus(df: DataFrame, members: list[str], dims: int = MODELING.umap_params["n_components"], anchors: int = MODELING.cosine_consensus_n_samples, epsilon: float = 1e-8) -> Consensus:
+    """Kernel PCA of the mean cosine kernel of several embeddings over at most ``anchors`` rows, taken by hash of id.
+
+    With fewer columns than anchors the eigenpairs come from the covariance, which has the same positive ones.
+    """
     rows = df.orderBy(F.xxhash64("id"), "id").limit(anchors).select("id", *[F.col(m).cast("array<double>") for m in members]).toArrow()
     if not rows.num_rows:
         raise RuntimeError("no rows to fit")
-    unit = {}
-    k = 0.0
-    for m in members:
-        x = np.array(rows[m].combine_chunks().flatten()).reshape(rows.num_rows, -1)
-        unit[m] = x / (np.linalg.norm(x, axis=1, keepdims=True) + epsilon)
-        k = k + unit[m] @ unit[m].T / len(members)
-    value, vector = positive_pairs(center_kernel(k), dims)
-    root = np.sqrt(np.where(value > 0, value, 1))
-    return Consensus(unit, k.mean(axis=0), float(k.mean()), np.where(value > 0, vector / root, 0))
+    x = _joint(rows, members, epsilon)
+    mean = x.mean(axis=0)
+    x = x - mean
+    if x.shape[1] < len(x):
+        value, axes = positive_pairs(x.T @ x, dims)
+        # signs as of the kernel's eigenvectors: their largest entry is positive
+        u = x @ axes
+        axes = axes * np.where(u[np.abs(u).argmax(axis=0), np.arange(dims)] < 0, -1, 1)
+    else:
+        value, vector = positive_pairs(x @ x.T, dims)
+        axes = np.where(value > 0, x.T @ vector / np.sqrt(np.where(value > 0, value, 1)), 0)
+    return Consensus(tuple(members), mean, axes)

@@ -512,4 +512,4 @@ def pca_project(spark, d):
 @query()
 def consensus_embedding(spark, d):
     rows = vectors_of(spark, d).select("id", F.col("vec").alias("one"), F.slice("vec", 1, 32).alias("two"))
-    return reduction.consensus(rows, ["one", "two"], 16, 512).apply(rows).select("id", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+    return reduction.consensus(rows, ["one", "two"], CFG.modeling.umap_params["n_components"], CFG.modeling.cosine_consensus_n_samples).apply(rows).select("id", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
