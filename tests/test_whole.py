@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tether.llm import suffixes
-from tether.operators import reduction
+from tether.operators import neighbors, reduction
 from tether.plans import catalog
 
 
@@ -92,3 +92,14 @@ def test_consensus_embedding_is_fitted_on_every_vector(spark, tmp_path):
     got = np.array([r["vec"] for r in catalog.queries()["consensus_embedding"](spark, str(tmp_path)).orderBy("id").collect()])
     sign = np.sign((want * got).sum(axis=0))
     assert got.shape == (600, 48) and np.allclose(got, want * sign, atol=2e-5)
+
+
+def test_merge_candidates_are_every_close_pair(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "BLOCK", 30)
+    rng = np.random.default_rng(9)
+    x = np.eye(8)[0] + rng.normal(scale=0.15, size=(90, 8))
+    df = spark.createDataFrame([(i, i, v.tolist()) for i, v in enumerate(x)], "id long, label long, vec array<double>")
+    got = {(r["a"], r["b"]) for r in neighbors.merge_candidates(df.select("id", "vec"), df.select("id", "label"), 0.75, 0.8, 0.8).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = np.nonzero(np.triu(np.round(u @ u.T, 6) >= 0.8, 1))
+    assert got == set(zip(a.tolist(), b.tolist())) and max(np.bincount(a)) > 64

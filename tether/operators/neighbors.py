@@ -54,6 +54,35 @@ def nearest(vectors: DataFrame, k: int, queries: DataFrame | None = None, with_s
     return found.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
 
 
+def pairs_above(vectors: DataFrame, threshold: float) -> DataFrame:
+    """``src, dst, similarity`` (src < dst) of every pair of ``vectors(id, vec)`` with a cosine above the threshold."""
+    base = vectors.select("id", F.col("vec").cast("array<double>").alias("vec"))
+    n = max(1, -(-base.count() // BLOCK))
+    rows = base.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    rows = rows.select(F.least("own", "other").alias("q"), F.greatest("own", "other").alias("b"), "own", "id", "vec")
+
+    def tile(t: pa.Table) -> pa.Table:
+        q, b, own, ids = t["q"][0].as_py(), t["b"][0].as_py(), t["own"].to_numpy(), t["id"].to_numpy()
+        x = np.array(t["vec"].combine_chunks().flatten()).reshape(len(ids), -1)
+        n = np.linalg.norm(x, axis=1)
+        x = x / np.where(n > 0, n, 1)[:, None]
+        left, right = np.flatnonzero(own == q), np.flatnonzero(own == b)
+        src, dst, sim = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for i in range(0, len(left), 256):
+            mine = left[i : i + 256]
+            s = np.round(x[mine] @ x[right].T, 6)
+            near = s > threshold
+            if q == b:
+                near &= ids[mine][:, None] < ids[right][None, :]
+            u, v = np.nonzero(near)
+            src.append(np.minimum(ids[mine][u], ids[right][v]))
+            dst.append(np.maximum(ids[mine][u], ids[right][v]))
+            sim.append(s[u, v])
+        return pa.table({"src": np.concatenate(src), "dst": np.concatenate(dst), "similarity": np.concatenate(sim)})
+
+    return rows.groupBy("q", "b").applyInArrow(tile, "src long, dst long, similarity double")
+
+
 def mutual_ranks(vectors: DataFrame, k: int) -> DataFrame:
     """``src, dst, weight`` (src < dst) of pairs that are in each other's list: mean similarity / (ranks + 2).
 
@@ -104,8 +133,8 @@ def centroids(vectors: DataFrame, labels: DataFrame, sample: int | None = None)
 def merge_candidates(vectors: DataFrame, labels: DataFrame, centroid_threshold: float = 0.75, median: float = 0.84, top: float = 0.90, members: int = 20) -> DataFrame:
     """``a, b, median_sim, max_sim`` of clusters that are near: by centroid first, then by pairs of sampled members."""
     cent = centroids(vectors, labels)
-    close = nearest(cent.select(F.col("label").cast("bigint").alias("id"), F.col("centroid").alias("vec")), k=64)
-    close = close.where((F.col("similarity") > centroid_threshold) & (F.col("src") < F.col("dst"))).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    close = pairs_above(cent.select(F.col("label").cast("bigint").alias("id"), F.col("centroid").alias("vec")), centroid_threshold)
+    close = close.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     rows = vectors.join(labels.where("label <> -1"), "id").withColumn("_k", F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64("id"), "id"))).where(F.col("_k") <= members)
     norm = lambda v: F.transform(v, lambda x: x / F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y * y)))
     rows = rows.select(F.col("label").cast("bigint").alias("label"), norm(F.col("vec").cast("array<double>")).alias("v"))
