@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tether.llm import suffixes
-from tether.operators import neighbors, reduction
+from tether.operators import clustering, neighbors, reduction
 from tether.plans import catalog
 
 
@@ -103,3 +103,19 @@ def test_merge_candidates_are_every_close_pair(spark, monkeypatch):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     a, b = np.nonzero(np.triu(np.round(u @ u.T, 6) >= 0.8, 1))
     assert got == set(zip(a.tolist(), b.tolist())) and max(np.bincount(a)) > 64
+
+
+def test_louvain_goes_on_until_no_communities_gain(spark):
+    n, resolution = 400, 0.1
+    path = [(i, i + 1, 1.0) for i in range(n - 1)]
+    got = {r["vertex"]: r["community"] for r in clustering.louvain(spark.createDataFrame(path, "src long, dst long, weight double"), resolution).collect()}
+    mass = {}
+    for a, b, _ in path:
+        for v in (a, b):
+            mass[got[v]] = mass.get(got[v], 0) + 1
+    between = {}
+    for a, b, _ in path:
+        if got[a] != got[b]:
+            pair = tuple(sorted((got[a], got[b])))
+            between[pair] = between.get(pair, 0) + 1
+    assert len(got) == n and all(w - resolution * mass[a] * mass[b] / (2 * len(path)) <= 1e-6 for (a, b), w in between.items())

@@ -12,12 +12,15 @@ from tether.operators.neighbors import nearest
 from tether.runtime.scratch import Scratch
 
 
-def louvain(edges: DataFrame, resolution: float = 0.65, sweeps: int = 6, levels: int = 3, scratch: Scratch | None = None) -> DataFrame:
+def louvain(edges: DataFrame, resolution: float = 0.65, sweeps: int = 1000, levels: int = 100, scratch: Scratch | None = None) -> DataFrame:
     """``vertex, community`` of the vertices of ``edges(src, dst, weight)`` by local moving and contraction.
 
     In a sweep each vertex looks at the communities of its neighbours and takes the one with the largest gain of
-    modularity; half of the vertices, by hash, move at a time, so that neighbours do not swap. Communities are then
-    contracted and the sweeps repeated. Communities never cross components; their id is the smallest member's.
+    modularity; half of the vertices, by hash, move at a time, so that neighbours do not swap. Once that no longer leaves
+    fewer vertices with a gain, each community takes part in its best move only; such moves do not touch one another,
+    so modularity grows until no vertex has a gain. Communities are then contracted and the sweeps repeated until
+    nothing moves. Communities never cross components; their id is the smallest member's. More than ``sweeps`` in a
+    level, or more than ``levels``, raise.
     """
     spark = edges.sparkSession
     scratch = scratch or Scratch(spark)
@@ -31,6 +34,7 @@ def louvain(edges: DataFrame, resolution: float = 0.65, sweeps: int = 6, levels:
     for _ in range(levels):
         degree = scratch.save(sym.groupBy("src").agg(F.sum("weight").alias("d")), "degree")
         label = scratch.save(degree.select("src", F.col("src").alias("c")), "label")
+        moved, fewest, waits, single = False, None, 0, False
         for sweep in range(sweeps):
             mass = degree.join(label, "src").groupBy("c").agg(F.sum("d").alias("m"))
             to = sym.where("src <> dst").join(label.select(F.col("src").alias("dst"), "c"), "dst").groupBy("src", "c").agg(F.sum("weight").alias("k"))
@@ -39,16 +43,38 @@ def louvain(edges: DataFrame, resolution: float = 0.65, sweeps: int = 6, levels:
             seen = to.unionByName(own).join(mass, "c").join(degree, "src").join(label.select("src", F.col("c").alias("mine")), "src")
             m = F.when(F.col("c") == F.col("mine"), F.col("m") - F.col("d")).otherwise(F.col("m"))
             gain = F.round(F.col("k") - F.lit(resolution) * F.col("d") * m / F.lit(total), 9)
-            best = seen.groupBy("src").agg(F.min(F.struct((-gain).alias("g"), (F.col("c") != F.col("mine")).alias("moves"), "c")).alias("b"), F.first("mine").alias("mine"))
-            turn = F.pmod(F.xxhash64("src", F.lit(sweep // 2)), F.lit(2)) == sweep % 2
-            new = scratch.save(best.select("src", F.when(turn, F.col("b.c")).otherwise(F.col("mine")).alias("c")), "label")
-            scratch.drop(label)
+            stay = F.max(F.when(F.col("c") == F.col("mine"), gain))
+            best = seen.groupBy("src").agg(F.min(F.struct((-gain).alias("g"), (F.col("c") != F.col("mine")).alias("moves"), "c")).alias("b"), F.first("mine").alias("mine"), stay.alias("stay"))
+            best = scratch.save(best.select("src", "mine", F.col("b.c").alias("c"), F.col("b.moves").alias("moves"), (F.col("b.g") + F.col("stay")).alias("g")), "best")
+            wants = best.where("moves").count()
+            if not wants:
+                scratch.drop(best)
+                break
+            moved = True
+            waits = 0 if fewest is None or wants < fewest else waits + 1
+            fewest = min(wants, fewest or wants)
+            single = single or waits >= 4
+            if single:
+                moves = best.where("moves").select("src", "g", F.explode(F.array("mine", "c")).alias("touched"))
+                first = moves.groupBy("touched").agg(F.min(F.struct("g", "src")).alias("f")).groupBy("f.src").agg(F.count("*").alias("n")).where("n = 2").select("src", F.lit(True).alias("turn"))
+                new = best.join(first, "src", "left").select("src", F.when(F.col("turn"), F.col("c")).otherwise(F.col("mine")).alias("c"))
+            else:
+                turn = F.pmod(F.xxhash64("src", F.lit(sweep // 2)), F.lit(2)) == sweep % 2
+                new = best.select("src", F.when(turn, F.col("c")).otherwise(F.col("mine")).alias("c"))
+            new = scratch.save(new, "label")
+            scratch.drop(label, best)
             label = new
+        else:
+            raise RuntimeError(f"vertices still move after {sweeps} sweeps")
+        if not moved:
+            break
         low = W.partitionBy("c")
         label = label.withColumn("c", F.min("src").over(low))
         member = scratch.save(member.join(label, member["community"] == label["src"]).select("vertex", F.col("c").alias("community")), "member")
         a, b = label.select("src", F.col("c").alias("x")), label.select(F.col("src").alias("dst"), F.col("c").alias("y"))
         sym = scratch.save(sym.join(a, "src").join(b, "dst").groupBy(F.col("x").alias("src"), F.col("y").alias("dst")).agg(F.sum("weight").alias("weight")), "sym")
+    else:
+        raise RuntimeError(f"communities still change after {levels} levels")
     return member
 
 
