@@ -119,3 +119,19 @@ def test_louvain_goes_on_until_no_communities_gain(spark):
             pair = tuple(sorted((got[a], got[b])))
             between[pair] = between.get(pair, 0) + 1
     assert len(got) == n and all(w - resolution * mass[a] * mass[b] / (2 * len(path)) <= 1e-6 for (a, b), w in between.items())
+
+
+def test_hdbscan_joins_groups_beyond_the_neighbour_lists(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "TILE", 40)
+    rng = np.random.default_rng(10)
+    x = np.concatenate([np.repeat(np.eye(6)[:1], 30, axis=0), np.eye(6)[1] + rng.normal(scale=0.01, size=(30, 6)), rng.normal(size=(25, 6))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    got = {r["id"]: r["cluster"] for r in clustering.hdbscan(df, 10, 1, 0.0, neighbors=5).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = np.round(np.sqrt(np.maximum(0, 2 - 2 * np.round(u @ u.T, 6))) / 0.8, 9)
+    near = np.round(np.sort(d + np.diag([np.inf] * len(x)), axis=1)[:, 0] * 0.8, 9)
+    edges = sorted((max(d[i, j], near[i], near[j]), i, j) for i in range(len(x)) for j in range(i + 1, len(x)))
+    a, b, w = (np.array(c) for c in zip(*[(i, j, e) for e, i, j in edges]))
+    label, _ = clustering.condense(len(x), a, b, w, 10, 0.0)
+    groups = lambda of: {frozenset(i for i in range(len(x)) if of[i] == c) for c in set(of[i] for i in range(len(x))) - {-1}}
+    assert groups(got) == groups(label) and any(set(range(30)) <= g for g in groups(got))

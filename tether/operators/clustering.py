@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +12,9 @@ from tether.operators.graph import connected_components
 from tether.operators.neighbors import nearest
 from tether.runtime.scratch import Scratch
 
+#: Vectors of a block of the spanning tree's tiles; a task holds two blocks.
+TILE = 8192
+
 
 def louvain(edges: DataFrame, resolution: float = 0.65, sweeps: int = 1000, levels: int = 100, scratch: Scratch | None = None) -> DataFrame:
     """``vertex, community`` of the vertices of ``edges(src, dst, weight)`` by local moving and contraction.
@@ -78,45 +82,82 @@ def louvain(edges: DataFrame, resolution: float = 0.65, sweeps: int = 1000, leve
     return member
 
 
-def spanning_tree(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """A minimum spanning forest of ``edges(src, dst, d)`` by Boruvka rounds: every component takes its shortest edge out.
+def shortest_out(points: DataFrame, alpha: float) -> DataFrame:
+    """``x, src, dst, d`` (src < dst): the first edge, by (d, src, dst), from each component to another one, in each tile.
 
-    Edges are in one total order, so rounds make no cycles; each at least halves the components that have an edge out.
+    Rows are ``(id, vec, core, x)`` with component x. Every pair of vectors is compared, tile by tile; d is the mutual
+    reachability distance. A component has a row for each tile in which it has an edge out.
+    """
+    n = max(1, -(-points.count() // TILE))
+    rows = points.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    rows = rows.select(F.least("own", "other").alias("q"), F.greatest("own", "other").alias("b"), "own", "id", "vec", "core", "x")
+
+    def tile(t: pa.Table) -> pa.Table:
+        q, b, own = t["q"][0].as_py(), t["b"][0].as_py(), t["own"].to_numpy()
+        ids, core, comp = t["id"].to_numpy(), t["core"].to_numpy(), t["x"].to_numpy()
+        v = np.array(t["vec"].combine_chunks().flatten()).reshape(len(ids), -1)
+        norm = np.linalg.norm(v, axis=1)
+        v = v / np.where(norm > 0, norm, 1)[:, None]
+        order = np.argsort(ids, kind="stable")
+        sides = [order[own[order] == k] for k in (q, b)]
+        found = [np.zeros((4, 0))]
+        for left, right in [sides, sides[::-1]][: 1 + (q != b)]:
+            for i in range(0, len(left) if len(right) else 0, 256):
+                mine = left[i : i + 256]
+                d = np.sqrt(np.maximum(0, 2 - 2 * np.round(v[mine] @ v[right].T, 6))) / alpha
+                d = np.round(np.maximum(np.maximum(d, core[mine][:, None]), core[right][None, :]), 9)
+                d[comp[mine][:, None] == comp[right][None, :]] = np.inf
+                # of equal distances the smallest id comes first
+                at = d.argmin(axis=1)
+                least = d[np.arange(len(mine)), at]
+                ok = np.isfinite(least)
+                u, w = mine[ok], right[at[ok]]
+                found.append(np.stack([u, w, least[ok], comp[u]]))
+        u, w, d, _ = np.concatenate(found, axis=1)
+        u, w = u.astype(int), w.astype(int)
+        src, dst, x = np.minimum(ids[u], ids[w]), np.maximum(ids[u], ids[w]), comp[u]
+        order = np.lexsort((dst, src, d, x))
+        first = order[np.append(True, x[order][1:] != x[order][:-1])] if len(order) else order
+        return pa.table({"x": x[first], "src": src[first], "dst": dst[first], "d": d[first]})
+
+    return rows.groupBy("q", "b").applyInArrow(tile, "x long, src long, dst long, d double")
+
+
+def spanning_tree(points: DataFrame, tree: DataFrame, alpha: float, scratch: Scratch) -> DataFrame:
+    """The minimum spanning tree of the mutual reachability of ``points(id, vec, core)`` by Boruvka rounds from a part of it.
+
+    Every component takes its first edge out. Edges are in one total order, so rounds make no cycles; each at least
+    halves the components.
     """
-    scratch = scratch or Scratch(edges.sparkSession)
-    e = scratch.save(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "d").groupBy("src", "dst").agg(F.min("d").alias("d")), "e")
-    tree = None
     for _ in range(64):
-        if tree is None:
-            out = e.select(F.col("src").alias("x"), F.col("dst").alias("y"), "src", "dst", "d")
-        else:
-            g = connected_components(tree.select("src", "dst"), scratch)
-            x = g.select(F.col("vertex").alias("src"), F.col("component_id").alias("gx"))
-            y = g.select(F.col("vertex").alias("dst"), F.col("component_id").alias("gy"))
-            out = e.join(x, "src", "left").join(y, "dst", "left").select(F.coalesce("gx", "src").alias("x"), F.coalesce("gy", "dst").alias("y"), "src", "dst", "d").where("x <> y")
-        both = out.unionByName(out.select(F.col("y").alias("x"), F.col("x").alias("y"), "src", "dst", "d"))
-        best = both.groupBy("x").agg(F.min(F.struct("d", "src", "dst")).alias("b")).select("b.src", "b.dst", "b.d").distinct()
+        g = connected_components(tree.select("src", "dst"), scratch)
+        rows = points.join(g.withColumnRenamed("vertex", "id"), "id", "left").withColumn("x", F.coalesce("component_id", "id")).drop("component_id")
+        best = shortest_out(rows, alpha).groupBy("x").agg(F.min(F.struct("d", "src", "dst")).alias("b")).select("b.src", "b.dst", "b.d").distinct()
         best = scratch.save(best, "best")
         if best.limit(1).count() == 0:
-            break
-        tree = best if tree is None else scratch.save(tree.unionByName(best).distinct(), "tree")
-    return tree if tree is not None else e
+            return tree
+        tree = scratch.save(tree.unionByName(best), "tree")
+    raise RuntimeError("the spanning tree did not settle in 64 rounds")
 
 
 def hdbscan(vectors: DataFrame, min_cluster_size: int = 3, min_samples: int = 1, epsilon: float = 0.15, alpha: float = 0.8, neighbors: int = 20, scratch: Scratch | None = None) -> DataFrame:
     """``id, cluster, cluster_probability`` of ``vectors(id, vec)`` by HDBSCAN with leaf selection and an epsilon.
 
-    Neighbour lists, core distances, mutual reachability and the spanning forest are distributed; reachability is taken
-    over the ``neighbors`` nearest of each vector. The driver reads the forest, n - 1 rows of three numbers, to
-    condense it. Vectors without a cluster have -1 and probability 0.
+    Neighbour lists, core distances, mutual reachability and the spanning tree, which is that of all pairs, are
+    distributed. The lists of ``neighbors`` only save work: an edge shorter than any that a list leaves out is taken
+    from it. The driver reads the tree, n - 1 rows of three numbers, to condense it. Vectors without a cluster have -1
+    and probability 0.
     """
     spark = vectors.sparkSession
     scratch = scratch or Scratch(spark)
-    near = scratch.save(nearest(vectors, neighbors).withColumn("d", F.sqrt(F.greatest(F.lit(0.0), 2.0 - 2.0 * F.col("similarity")))), "near")
-    core = near.where(F.col("rank") == min_samples - 1).select("src", F.col("d").alias("core"))
+    near = scratch.save(nearest(vectors, max(neighbors, min_samples)).withColumn("d", F.sqrt(F.greatest(F.lit(0.0), 2.0 - 2.0 * F.col("similarity")))), "near")
+    core = scratch.save(near.where(F.col("rank") < min_samples).groupBy("src").agg(F.max("d").alias("core")), "core")
     reach = near.join(core, "src").join(core.select(F.col("src").alias("dst"), F.col("core").alias("core2")), "dst")
-    reach = reach.select("src", "dst", F.round(F.greatest(F.col("core"), F.col("core2"), F.col("d") / alpha), 9).alias("d"))
-    table = spanning_tree(reach, scratch).orderBy("d", "src", "dst").toArrow()
+    reach = reach.select("src", "dst", F.round(F.greatest(F.col("core"), F.col("core2"), F.col("d") / alpha), 9).alias("d"), F.round(F.greatest(F.col("core"), F.col("d") / alpha), 9).alias("least"))
+    sure = reach.groupBy("src").agg(F.min(F.struct("d", "dst")).alias("b"), F.max("least").alias("beyond")).where("b.d < beyond")
+    sure = sure.select(F.least("src", "b.dst").alias("src"), F.greatest("src", "b.dst").alias("dst"), "b.d").distinct()
+    points = vectors.select("id", F.col("vec").cast("array<double>").alias("vec")).join(core.withColumnRenamed("src", "id"), "id")
+    table = spanning_tree(scratch.save(points, "points"), scratch.save(sure, "tree"), alpha, scratch).orderBy("d", "src", "dst").toArrow()
     ids, at = np.unique(np.concatenate([table["src"].to_numpy(), table["dst"].to_numpy()]), return_inverse=True)
     label, prob = condense(len(ids), at[: table.num_rows], at[table.num_rows :], table["d"].to_numpy(), min_cluster_size, epsilon)
     told = spark.createDataFrame(list(zip(ids.tolist(), label.tolist(), prob.tolist())), "id bigint, cluster bigint, cluster_probability double")
