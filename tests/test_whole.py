@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 import pytest
 
-from tether.llm import suffixes
+from tether.llm import quality, suffixes
 from tether.operators import clustering, neighbors, reduction
 from tether.plans import catalog
 
@@ -135,3 +135,13 @@ def test_hdbscan_joins_groups_beyond_the_neighbour_lists(spark, monkeypatch):
     label, _ = clustering.condense(len(x), a, b, w, 10, 0.0)
     groups = lambda of: {frozenset(i for i in range(len(x)) if of[i] == c) for c in set(of[i] for i in range(len(x))) - {-1}}
     assert groups(got) == groups(label) and any(set(range(30)) <= g for g in groups(got))
+
+
+def test_rules_are_learnt_from_few_labels():
+    x = np.random.default_rng(11).normal(size=(58, len(quality.STATISTICS)))
+    y = (x[:, 3] > 0.2).astype(float)
+    model = quality.fit(x, y)
+    raw = model.bias + sum(w * quality._holds(x, r) for r, w in zip(model.rules, model.weights))
+    assert model.rules and ((raw > 0) == (y == 1)).mean() > 0.9
+    for n in (1, 2, 5):
+        assert np.isfinite(quality.fit(x[:n], np.arange(n) % 2.0).bias)

@@ -112,12 +112,12 @@ class RuleModel:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-terms[0]))
 
 
-def _grow(bins: np.ndarray, cuts: list[np.ndarray], rows: np.ndarray, residual: np.ndarray, weight: np.ndarray, depth: int, path: Rule, rules: dict, out: np.ndarray) -> None:
+def _grow(bins: np.ndarray, cuts: list[np.ndarray], rows: np.ndarray, residual: np.ndarray, weight: np.ndarray, depth: int, path: Rule, rules: dict, out: np.ndarray, least: int = 20) -> None:
     """Splits rows where the squared sums of residuals gain most; adds each child's path, and Newton steps to ``out``."""
     best = (1e-6, None)
     g, h = residual[rows], weight[rows]
     base = g.sum() ** 2 / (h.sum() + 1)
-    if depth and len(rows) >= 40:
+    if depth and len(rows) >= 2 * least:
         for k, c in enumerate(cuts):
             if not len(c):
                 continue
@@ -125,7 +125,7 @@ def _grow(bins: np.ndarray, cuts: list[np.ndarray], rows: np.ndarray, residual:
             hs = np.bincount(bins[rows, k], h, len(c) + 1).cumsum()[:-1]
             ns = np.bincount(bins[rows, k], minlength=len(c) + 1).cumsum()[:-1]
             gain = gs**2 / (hs + 1) + (g.sum() - gs) ** 2 / (h.sum() - hs + 1) - base
-            gain[(ns < 20) | (len(rows) - ns < 20)] = 0
+            gain[(ns < least) | (len(rows) - ns < least)] = 0
             at = int(gain.argmax())
             if gain[at] > best[0]:
                 best = (gain[at], (k, at))
@@ -137,15 +137,17 @@ def _grow(bins: np.ndarray, cuts: list[np.ndarray], rows: np.ndarray, residual:
     for most, own in ((True, rows[low]), (False, rows[~low])):
         longer = (*path, (k, most, float(cuts[k][at])))
         rules.setdefault(longer)
-        _grow(bins, cuts, own, residual, weight, depth - 1, longer, rules, out)
+        _grow(bins, cuts, own, residual, weight, depth - 1, longer, rules, out, least)
 
 
 def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.2, penalty: float = 0.0015, steps: int = 300, seed: int = 5) -> RuleModel:
     """Rules and weights from statistics ``x`` and labels ``y`` (0 or 1); without both labels, a constant score."""
     mean = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
     bias = float(np.log(mean / (1 - mean)))
-    if len(y) < 100 or y.min() == y.max():
+    if not len(y) or y.min() == y.max():
         return RuleModel((), (), bias)
+    # leaves of a fifth of the rows where there are few
+    least = min(20, max(1, len(y) // 5))
     rng = np.random.default_rng(seed)
     cuts = []
     for col in x.T:
@@ -159,7 +161,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: flo
         half = np.sort(rng.permutation(len(y))[: max(100, len(y) // 2)])
         found: dict[Rule, None] = {}
         step = np.zeros(len(y))
-        _grow(bins, cuts, half, y - p, p * (1 - p), depth, (), found, step)
+        _grow(bins, cuts, half, y - p, p * (1 - p), depth, (), found, step, least)
         # the rows left out move with the leaf they fall in
         leaves = [r for r in found if not any(len(o) > len(r) and o[: len(r)] == r for o in found)]
         for r in leaves:
