@@ -124,7 +124,7 @@ def test_louvain_goes_on_until_no_communities_gain(spark):
 def test_hdbscan_joins_groups_beyond_the_neighbour_lists(spark, monkeypatch):
     monkeypatch.setattr(clustering, "TILE", 40)
     rng = np.random.default_rng(10)
-    x = np.concatenate([np.repeat(np.eye(6)[:1], 30, axis=0), np.eye(6)[1] + rng.normal(scale=0.01, size=(30, 6)), rng.normal(size=(25, 6))])
+    x = np.concatenate([np.repeat(np.eye(6)[:1], 30, axis=0), np.repeat(np.eye(6)[1:2], 30, axis=0), np.eye(6)[2] + rng.normal(scale=0.01, size=(25, 6))])
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
     got = {r["id"]: r["cluster"] for r in clustering.hdbscan(df, 10, 1, 0.0, neighbors=5).collect()}
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
