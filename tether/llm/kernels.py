@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,14 +90,67 @@ def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def shingle_sets(buf: np.ndarray, offsets: np.ndarray, width: int = 5) -> Iterator[np.ndarray]:
-    """For each text the sorted 64-bit ids of its distinct shingles of ``width`` words, after lower-casing A-Z.
+def word_ids(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words: eight bytes at a time through a finaliser, longer words than 64 bytes by BLAKE2.
 
-    A text of fewer words has its whole sequence as the only one; one without words has none.
+    The steps are not linear, so no family of words collides by its structure; equal ones need chance (2**-64 a pair).
     """
+    size = ends - starts
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    eight = np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
+    h = mix(size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    live = np.arange(len(size))
+    for k in range(0, 64, 8):
+        live = live[size[live] > k]
+        if not len(live):
+            break
+        rest = np.minimum(size[live] - k, 8).astype(np.uint64)
+        v = eight[starts[live] + k] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * rest))
+        h[live] = mix(h[live] ^ v)
+    for i in np.flatnonzero(size > 64).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return h
+
+
+def _blocks(buf: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[np.ndarray]:
+    """A text in blocks of about ``limit`` bytes that end behind white space; a longer word stays whole."""
+    begin, n = 0, len(buf)
+    while n - begin > 2 * limit:
+        end = begin + limit
+        while end < n:
+            gap = SEP[buf[end : end + 65536]]
+            if gap.any():
+                end += int(gap.argmax()) + 1
+                break
+            end = min(n, end + 65536)
+        yield buf[begin:end]
+        begin = end
+    yield buf[begin:]
+
+
+def _words_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word hashes of lower-cased texts, and the first of each text."""
+    if len(offsets) == 2 and len(buf) > 2 * CHUNK_BYTES:
+        parts = []
+        for b in _blocks(buf):
+            low = LOWER[b]
+            starts, ends, _ = words(low, np.array([0, len(b)]))
+            parts.append(word_ids(low, starts, ends))
+        w = np.concatenate(parts)
+        return w, np.array([0, len(w)])
     low = LOWER[buf]
     starts, ends, first = words(low, offsets)
-    w = Rolling(low).of(starts, ends) if len(starts) else np.zeros(0, np.uint64)
+    return word_ids(low, starts, ends), first
+
+
+def shingle_sets(buf: np.ndarray, offsets: np.ndarray, width: int = 5) -> Iterator[np.ndarray]:
+    """For each text the sorted 64-bit ids of its distinct shingles of ``width`` words, after lower-casing A-Z.
+
+    A text of fewer words has its whole sequence as the only one; one without words has none. Long texts are read in
+    blocks, so beside the words' hashes a task holds a few bytes for each byte of a block.
+    """
+    w, first = _words_of(buf, offsets)
     grams = np.zeros(max(0, len(w) - width + 1), np.uint64)
     for k in range(width):
         grams += w[k : k + len(grams)] * power(0xA0761D6478BD642F, width)[k + 1]

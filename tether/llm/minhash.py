@@ -9,9 +9,10 @@
 
 A bucket is never expanded into all its pairs. First every member is compared with the bucket's most connected one,
 which shares most with all the others and so finds the original that many copies were made from. Only members that the
-confirmed links leave in different components are then compared with each other, and of these only pairs in which both
-have enough shingles that occur in some other such document: a pair cannot share more than either has. The first batches of the signature
-travel with the members, so that a join keeps only the pairs that these leave possible.
+confirmed links leave in different components are then compared with each other: in a bucket of a few members pair by
+pair, in a larger one by what sets each member apart from one reference document (see ``alike_beside``), which gives
+every pair that can link and no others of copies that only the reference makes alike. The first batches of the
+signature travel with the members, so that a join keeps only the pairs that these leave possible.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tether.llm.kernels import chunks, mix, shingle_sets, texts_of
@@ -40,6 +41,8 @@ class Settings:
     miss: float = 1e-6
     #: 64-bit words of the signature, 8 minima each, that the bucket joins compare.
     head: int = 5
+    #: Members of a bucket up to which its pairs are made as they are: at most half as many a member.
+    few: int = 8
 
     @property
     def hashes(self) -> int:
@@ -177,19 +180,76 @@ def verify(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "src long, dst long")
 
 
-def common_shingles(texts: DataFrame, s: Settings) -> DataFrame:
-    """(node, size, common): the shingles of each text, and how many of them another text has too."""
+def deltas(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """(c, x, nc, nx, linked, items) of the pairs (c, x): both set sizes, whether they link, and the shingles of only one."""
 
     def run(batches):
         for batch in batches:
-            sets = [x.view(np.int64) for _, _, b, o in chunks(*texts_of(batch.column(1))) for x in shingle_sets(b, o, s.width)]
-            ends = np.array([0, *map(len, sets)]).cumsum().astype(np.int32)
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "items"])
+            c, at = np.unique(batch.column(0).to_numpy(), return_index=True)
+            left = {}
+            for i, _, b, o in chunks(*texts_of(batch.column(2).take(pa.array(at)))):
+                left |= {int(c[i + k]): v for k, v in enumerate(shingle_sets(b, o, s.width))}
+            ids, n = batch.column(0).to_pylist(), 0
+            nc, nx, linked, items = [], [], [], []
+            for _, _, b, o in chunks(*texts_of(batch.column(3))):
+                for y in shingle_sets(b, o, s.width):
+                    x = left[ids[n]]
+                    apart = np.setxor1d(x, y, assume_unique=True)
+                    whole = len(x) + len(y)
+                    nc.append(len(x))
+                    nx.append(len(y))
+                    # with the sum of sizes w and h shingles in only one, the similarity is (w - h) / (w + h)
+                    linked.append(s.denominator * (whole - len(apart)) >= s.numerator * (whole + len(apart)))
+                    items.append(apart.view(np.int64))
+                    n += 1
+            ends = np.array([0, *map(len, items)]).cumsum().astype(np.int32)
+            flat = np.concatenate(items) if items else np.zeros(0, np.int64)
+            cols = [batch.column(0), batch.column(1), pa.array(nc, pa.int64()), pa.array(nx, pa.int64()), pa.array(linked, pa.bool_()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+            yield pa.RecordBatch.from_arrays(cols, ["c", "x", "nc", "nx", "linked", "items"])
+
+    left = texts.select(F.col("doc_id").alias("c"), F.col("text").alias("tc"))
+    right = texts.select(F.col("doc_id").alias("x"), F.col("text").alias("tx"))
+    both = pairs.join(left, "c").join(right, "x").select("c", "x", "tc", "tx")
+    return both.mapInArrow(run, "c long, x long, nc long, nx long, linked boolean, items array<long>")
 
-    each = texts.dropDuplicates(["doc_id"]).mapInArrow(run, "node long, items array<long>").select("node", F.explode("items").alias("item"))
-    several = each.groupBy("item").agg((F.count("*") > 1).cast("int").alias("again"))
-    return each.join(several, "item").groupBy("node").agg(F.count("*").alias("size"), F.sum("again").alias("common"))
+
+def alike_beside(apart: DataFrame, groups: DataFrame, s: Settings) -> DataFrame:
+    """Pairs (a, b) of documents with one reference c that may link, from what sets them apart from c.
+
+    Let D(x) be the shingles that only one of x and c has. a and b link just if at most (|a| + |b|) (1 - t) / (1 + t)
+    shingles are in only one of them, which is |D(a)| + |D(b)| - 2 |D(a) & D(b)|; so D(a) and D(b) must share at
+    least (f(a) + f(b)) / 2 with f(x) = |D(x)| - |x| (1 - t) / (1 + t). Of D(x) only the shingles that some other D
+    has too count, from the rarest on: a shared one that leaves fewer behind it than must be shared makes no pair.
+    Independent edits share next to nothing, so a group of many copies gives a few pairs a document.
+    """
+    k = (s.denominator - s.numerator) / (s.denominator + s.numerator)
+    # all that only the bound needs is taken a little loosely, for the rounding
+    f = F.size("items") - F.col("nx") * F.lit(k)
+    # least f of a partner: it is in reach of x, has no negative |D|, and does not link with c where x does
+    most = F.col("nx") * F.lit(s.denominator / s.numerator)
+    other = F.greatest(f - 2 * F.lit(k) * most, -F.lit(k) * most)
+    other = F.when(F.col("linked"), F.greatest(other, F.lit(k) * F.col("nc"))).otherwise(other)
+    each = apart.where(F.col("x") != F.col("c")).select("c", "x", "linked", f.alias("f"), ((f + other) / 2 - 1e-6).alias("least"), F.explode("items").alias("item"))
+    often = each.groupBy("c", "item").agg(F.count("*").alias("n")).where("n > 1")
+    left = F.row_number().over(Window.partitionBy("c", "x").orderBy(F.desc("n"), "item"))
+    rare = each.join(often, ["c", "item"]).withColumn("left", left).where("left >= least").drop("n", "least")
+    rare = rare.join(groups.select(F.col("vertex").alias("x"), F.col("component_id").alias("g")), "x", "left").withColumn("g", F.coalesce("g", "x"))
+    p, q = (rare.select("c", "item", *[F.col(h).alias(f"{v}{h}") for h in ("x", "g", "f", "left", "linked")]) for v in "ab")
+    enough = F.least("aleft", "bleft") >= (F.col("af") + F.col("bf")) / 2 - 1e-6
+    apart_yet = (F.col("ag") != F.col("bg")) & ~(F.col("alinked") & F.col("blinked"))
+    on = (p["c"] == q["c"]) & (p["item"] == q["item"]) & (F.col("ax") < F.col("bx")) & apart_yet & enough
+    return p.join(q, on).select(F.col("ax").alias("a"), F.col("bx").alias("b")).distinct()
+
+
+def join_counted(left: DataFrame, right: DataFrame, on: list[str], total: int) -> DataFrame:
+    """left join right on ``on``, where ``right`` has one row a key and the number ``n`` of its rows in ``left``.
+
+    Keys with over a thousandth of all ``total`` rows are fewer than a thousand, so these are broadcast and their rows
+    stay where they are; no task of the shuffle gets more than a thousandth of the rows by one key.
+    """
+    hot = right.where(F.col("n") * 1000 > F.lit(total))
+    cold = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(right.where(F.col("n") * 1000 <= F.lit(total)), on)
+    return left.join(F.broadcast(hot), on).unionByName(cold)
 
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings(), scratch: Scratch | None = None) -> DataFrame:
@@ -198,35 +258,39 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), scratch: Scratch
     Null, empty and blank texts have no shingles, link with nothing and are kept. component_id is the smallest doc_id
     reachable by links; the document that has it is kept. Repeated rows of one doc_id get the same answer. A row with
     a null doc_id takes part through its text only if some row with the same words has an id; without one its
-    component is null and it is kept. Very long texts are hashed in blocks. Other columns are not read.
+    component is null and it is kept. Very long texts are hashed in blocks. Other columns are not read. Shingles are
+    told apart by 64-bit hashes without algebraic structure, and equal sets by 128 bits of them.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     signed = scratch.save(sign(docs, s), "signed")
     slim = signed.select("doc_id", "n_shingles", "d1", "d2")
-    classes = scratch.save(slim.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("node")), "classes")
+    classes = scratch.save(slim.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "classes")
     heads = heads_of(s)
-    nodes = signed.select("doc_id", "d1", "d2", "sig", "bands", *heads).join(classes, ["d1", "d2"]).where("doc_id = node").dropDuplicates(["d1", "d2"])
-    nodes = scratch.save(nodes.select("node", "sig", "bands", *heads), "nodes")
+    first = classes.select("node", F.col("d1").alias("e1"), F.col("d2").alias("e2"))
+    own = (F.col("doc_id") == F.col("node")) & (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2"))
+    nodes = signed.where("n_shingles > 0").join(first, own, "left_semi").dropDuplicates(["d1", "d2"])
+    nodes = scratch.save(nodes.select(F.col("doc_id").alias("node"), "sig", "bands", *heads), "nodes")
 
     bands = nodes.select(F.explode("bands").alias("key"), "node")
-    shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    plain = scratch.save(bands.join(shared, "key"), "members")
+    shared = scratch.save(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    slots = shared.agg(F.sum("n")).first()[0] or 0
+    plain = scratch.save(join_counted(bands, shared, ["key"], slots), "members")
+    known = plain.groupBy("node").agg(F.sum("n").alias("known"))
+    members = scratch.save(plain.join(known.join(nodes.select("node", *heads).dropDuplicates(["node"]), "node"), "node"), "members")
+    scratch.drop(plain)
     scratch.settle()
-    known = plain.groupBy("node").agg(F.sum("n").alias("known")).join(nodes.select("node", *heads).dropDuplicates(["node"]), "node")
-    members = scratch.save(plain.select("key", "node").join(known, "node"), "members")
-    centre = members.groupBy("key").agg(F.max(F.struct("known", (-F.col("node")).alias("neg"), *heads)).alias("c"))
-    centre = centre.select("key", (-F.col("c.neg")).alias("first"), *[F.col(f"c.{h}").alias(f"c{h}") for h in heads])
-    star = members.join(centre, "key").where((F.col("node") != F.col("first")) & possible(s, "h", "ch"))
+    centre = members.groupBy("key").agg(F.max(F.struct("known", (-F.col("node")).alias("neg"), *heads)).alias("c"), F.count("*").alias("n"))
+    centre = centre.select("key", "n", (-F.col("c.neg")).alias("first"), *[F.col(f"c.{h}").alias(f"c{h}") for h in heads])
+    star = join_counted(members.drop("n"), scratch.save(centre, "centre"), ["key"], slots).where((F.col("node") != F.col("first")) & possible(s, "h", "ch"))
     likely = scratch.save(prune(star.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), nodes, s), "likely")
     scratch.settle()
 
     # the likeliest partner of each document first: most groups are joined by these links alone
     best = likely.groupBy("b").agg(F.max_by("a", F.struct("matches", -F.col("a"))).alias("a")).select("a", "b")
     source = docs.select(F.col("doc_id").cast("long"), "text")
-    texts = scratch.save(source.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+    texts = scratch.save(source.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     links = scratch.save(verify(best, texts, s), "links")
     groups = scratch.save(connected_components(links, scratch), "groups")
-    scratch.settle()
 
     def label(pairs: DataFrame) -> DataFrame:
         for c in ("a", "b"):
@@ -236,35 +300,30 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), scratch: Scratch
 
     rest = label(likely.join(best, ["a", "b"], "left_anti"))
     g = groups.select(F.col("vertex").alias("node"), F.col("component_id").alias("g"))
-    tagged = scratch.save(members.join(g, "node", "left").withColumn("g", F.coalesce("g", "node")), "tagged")
-    mixed = tagged.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1").select("key")
-    open_ = scratch.save(tagged.join(mixed, "key", "left_semi").join(nodes.select("node", "bands").dropDuplicates(["node"]), "node"), "open")
-    whole = s.numerator + s.denominator
-    alive = open_.select("node").distinct()
-    for _ in range(2):  # shingles of documents that the first count rules out do not count the second time
-        some = texts.join(alive.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-        shared = scratch.save(common_shingles(some, s), "common")
-        rows = open_.select("key", "node").join(shared, "node")
-        low = rows.groupBy("key").agg(F.min("size").alias("low"))
-        alive = rows.join(low, "key").where(whole * F.col("common") >= s.numerator * (F.col("size") + F.col("low"))).select("node").distinct()
-        alive = scratch.save(alive, "alive")
-    open_ = scratch.save(open_.join(alive, "node", "left_semi").join(shared, "node").withColumn("before", F.expr("slice(bands, 1, cast(array_position(bands, key) as int) - 1)")).drop("bands"), "open")
+    tagged = members.select("key", "node", "known").join(g, "node", "left").withColumn("g", F.coalesce("g", "node"))
+    buckets = tagged.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.count("*").alias("n"), F.max_by("g", F.struct("known", -F.col("node"))).alias("gc"))
+    # in a bucket of two the star has compared the only pair
+    mixed = scratch.save(buckets.where("g0 < g1 and n > 2").select("key", "n", "gc"), "mixed")
+    open_ = scratch.save(join_counted(tagged, mixed, ["key"], slots), "open")
+    few = open_.where(F.col("n") <= s.few).select("key", "node", "g").join(nodes.select("node", *heads).dropDuplicates(["node"]), "node")
+    x, y = (few.select("key", F.col("node").alias(c), *[F.col(h).alias(f"{c}{h}") for h in ("g", *heads)]) for c in "ab")
+    near = x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("ag") != F.col("bg")) & possible(s, "ah", "bh")).select("a", "b")
+    # all buckets whose centre is in one component take the most connected member of that as their reference
+    hubs = tagged.groupBy("g").agg(F.max_by("node", F.struct("known", -F.col("node"))).alias("c")).withColumnRenamed("g", "gc")
+    many = open_.where(F.col("n") > s.few).select("node", "gc").distinct().join(hubs, "gc")
+    apart = scratch.save(deltas(many.select("c", F.col("node").alias("x")), texts, s), "apart")
+    beside = alike_beside(apart, groups, s)
+    across = scratch.save(prune(near.union(beside).distinct(), nodes, s).select("a", "b"), "across")
     scratch.settle()
-    cols = [*heads, "g", "size", "common", "before"]
-    x, y = (open_.select("key", F.col("node").alias(c), *[F.col(h).alias(f"{c}{h}") for h in cols]) for c in "ab")
-    enough = whole * F.least("acommon", "bcommon") >= s.numerator * (F.col("asize") + F.col("bsize"))
-    # a pair that shares several buckets is made in the first of them alone
-    once = ~F.arrays_overlap("abefore", "bbefore")
-    across = x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("ag") != F.col("bg")) & enough & possible(s, "ah", "bh") & once).select("a", "b")
-    across = scratch.save(prune(across, nodes, s).select("a", "b"), "across")
-    more = scratch.save(rest.union(across).distinct(), "more")
-    links2 = scratch.save(verify(more, texts, s), "links")
-    final = connected_components(groups.select(F.col("vertex").alias("src"), F.col("component_id").alias("dst")).union(links2), scratch)
-    final = scratch.save(final, "final")
-    scratch.drop(nodes, plain, members, likely, texts, tagged, open_, across)
+    links2 = scratch.save(verify(rest.union(across).distinct(), texts, s), "links")
+    found = groups.select(F.col("vertex").alias("src"), F.col("component_id").alias("dst")).union(links2)
+    found = found.union(apart.where("linked and x <> c").select(F.col("c").alias("src"), F.col("x").alias("dst")))
+    final = scratch.save(connected_components(found, scratch), "final")
+    scratch.drop(nodes, members, likely, texts, open_, across, apart)
     scratch.settle()
 
-    named = classes.join(final, F.col("node") == F.col("vertex"), "left").select("d1", "d2", F.coalesce("component_id", "node").alias("c"))
-    out = slim.join(named, ["d1", "d2"], "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("c"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    named = classes.join(final, F.col("node") == F.col("vertex"), "left").select("d1", "d2", "n", F.coalesce("component_id", "node").alias("c"))
+    some = slim.where("n_shingles > 0")
+    out = join_counted(some, scratch.save(named, "named"), ["d1", "d2"], some.count()).select("doc_id", "n_shingles", F.col("c").alias("component_id"))
+    out = out.unionByName(slim.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
