@@ -17,15 +17,17 @@ signature travel with the members, so that a join keeps only the pairs that thes
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from math import comb
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tether.llm.kernels import chunks, mix, shingle_sets, texts_of
+from tether.llm.kernels import CHUNK_BYTES, chunks, mix, shingle_sets, texts_of
 from tether.operators.graph import connected_components
 from tether.runtime.scratch import Scratch
 
@@ -154,30 +156,58 @@ def prune(pairs: DataFrame, sigs: DataFrame, s: Settings) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, matches long")
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, z) of ``docs(doc_id, text)``: the text compressed, as it is shuffled more than once."""
+
+    def run(batches):
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            data, offsets = texts_of(batch.column(1))
+            z = [press.compress(data[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary())], ["doc_id", "z"])
+
+    return docs.mapInArrow(run, "doc_id long, z binary")
+
+
+def sets_of(column: pa.Array, width: int) -> Iterator[np.ndarray]:
+    """The shingle set of each compressed text, of which about ``CHUNK_BYTES`` are open at once."""
+    press = zstandard.ZstdDecompressor()
+    parts, held = [], 0
+
+    def close():
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        yield from shingle_sets(data, np.array([0, *map(len, parts)]).cumsum(), width)
+
+    for z in column:
+        text = press.decompress(z.as_py())
+        if parts and held + len(text) > CHUNK_BYTES:
+            yield from close()
+            parts, held = [], 0
+        parts.append(text)
+        held += len(text)
+    if parts:
+        yield from close()
+
+
 def verify(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """(src, dst) of the pairs (a, b) whose full shingle sets reach the similarity."""
 
     def run(batches):
         for batch in batches:
             a, at = np.unique(batch.column(0).to_numpy(), return_index=True)
-            first = batch.column(2).take(pa.array(at))
-            left = {}
-            for i, _, b, o in chunks(*texts_of(first)):
-                left |= {int(a[i + k]): v for k, v in enumerate(shingle_sets(b, o, s.width))}
-            src, dst, n, ids = [], [], 0, (batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            for _, _, b, o in chunks(*texts_of(batch.column(3))):
-                for y in shingle_sets(b, o, s.width):
-                    x = left[ids[0][n]]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if both and s.denominator * both >= s.numerator * (len(x) + len(y) - both):
-                        src.append(ids[0][n])
-                        dst.append(ids[1][n])
-                    n += 1
+            left = dict(zip(a.tolist(), sets_of(batch.column(2).take(pa.array(at)), s.width)))
+            src, dst, ids = [], [], zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            for (i, j), y in zip(ids, sets_of(batch.column(3), s.width)):
+                x = left[i]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both and s.denominator * both >= s.numerator * (len(x) + len(y) - both):
+                    src.append(i)
+                    dst.append(j)
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "src long, dst long")
+    left = texts.select(F.col("doc_id").alias("a"), F.col("z").alias("za"))
+    right = texts.select(F.col("doc_id").alias("b"), F.col("z").alias("zb"))
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "za", "zb").mapInArrow(run, "src long, dst long")
 
 
 def deltas(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
@@ -186,30 +216,25 @@ def deltas(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     def run(batches):
         for batch in batches:
             c, at = np.unique(batch.column(0).to_numpy(), return_index=True)
-            left = {}
-            for i, _, b, o in chunks(*texts_of(batch.column(2).take(pa.array(at)))):
-                left |= {int(c[i + k]): v for k, v in enumerate(shingle_sets(b, o, s.width))}
-            ids, n = batch.column(0).to_pylist(), 0
+            left = dict(zip(c.tolist(), sets_of(batch.column(2).take(pa.array(at)), s.width)))
             nc, nx, linked, items = [], [], [], []
-            for _, _, b, o in chunks(*texts_of(batch.column(3))):
-                for y in shingle_sets(b, o, s.width):
-                    x = left[ids[n]]
-                    apart = np.setxor1d(x, y, assume_unique=True)
-                    whole = len(x) + len(y)
-                    nc.append(len(x))
-                    nx.append(len(y))
-                    # with the sum of sizes w and h shingles in only one, the similarity is (w - h) / (w + h)
-                    linked.append(s.denominator * (whole - len(apart)) >= s.numerator * (whole + len(apart)))
-                    items.append(apart.view(np.int64))
-                    n += 1
+            for i, y in zip(batch.column(0).to_pylist(), sets_of(batch.column(3), s.width)):
+                x = left[i]
+                apart = np.setxor1d(x, y, assume_unique=True)
+                whole = len(x) + len(y)
+                nc.append(len(x))
+                nx.append(len(y))
+                # with the sum of sizes w and h shingles in only one, the similarity is (w - h) / (w + h)
+                linked.append(s.denominator * (whole - len(apart)) >= s.numerator * (whole + len(apart)))
+                items.append(apart.view(np.int64))
             ends = np.array([0, *map(len, items)]).cumsum().astype(np.int32)
             flat = np.concatenate(items) if items else np.zeros(0, np.int64)
             cols = [batch.column(0), batch.column(1), pa.array(nc, pa.int64()), pa.array(nx, pa.int64()), pa.array(linked, pa.bool_()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
             yield pa.RecordBatch.from_arrays(cols, ["c", "x", "nc", "nx", "linked", "items"])
 
-    left = texts.select(F.col("doc_id").alias("c"), F.col("text").alias("tc"))
-    right = texts.select(F.col("doc_id").alias("x"), F.col("text").alias("tx"))
-    both = pairs.join(left, "c").join(right, "x").select("c", "x", "tc", "tx")
+    left = texts.select(F.col("doc_id").alias("c"), F.col("z").alias("zc"))
+    right = texts.select(F.col("doc_id").alias("x"), F.col("z").alias("zx"))
+    both = pairs.join(left, "c").join(right, "x").select("c", "x", "zc", "zx")
     return both.mapInArrow(run, "c long, x long, nc long, nx long, linked boolean, items array<long>")
 
 
@@ -288,7 +313,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), scratch: Scratch
     # the likeliest partner of each document first: most groups are joined by these links alone
     best = likely.groupBy("b").agg(F.max_by("a", F.struct("matches", -F.col("a"))).alias("a")).select("a", "b")
     source = docs.select(F.col("doc_id").cast("long"), "text")
-    texts = scratch.save(source.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    texts = scratch.save(packed(source).join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     links = scratch.save(verify(best, texts, s), "links")
     groups = scratch.save(connected_components(links, scratch), "groups")
 
