@@ -56,6 +56,25 @@ def test_near_duplicates_agree_with_all_pairs(spark):
     assert got == {i: (s, c, i == c) for i, (s, c) in brute_near(rows).items()}
 
 
+def test_near_copies_that_do_not_link_and_words_of_a_special_form(spark):
+    rng = random.Random(7)
+    base, rows = words(rng, 150, 10**6), []
+    for i in range(250):  # copies of one text, most of which are alike to the original at best
+        w = list(base)
+        for _ in range(rng.randrange(3, 14)):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    rows.append((250, " ".join(base)))
+    a = "a"
+    for _ in range(10):  # different words that polynomial hashes modulo a power of two do not tell apart
+        a += a.translate({97: 98, 98: 97})
+    rows += [(300, a), (301, a.translate({97: 98, 98: 97}))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for few in (8, 2):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df, minhash.Settings(few=few)).collect()}
+        assert got == brute_near(rows)
+
+
 def test_near_duplicates_of_nothing_and_repeats(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
     rows = [(1, "a b c", None, None)] * 2 + [(None, "lonely words here", None, None)]
@@ -94,13 +113,14 @@ def repeat_cases():
     return rows + [(40, rows[-1][1]), (41, rows[5][1]), (42, text(9000)), (43, rows[-1][1] * 2)]
 
 
-@pytest.mark.parametrize("hot", [suffixes.HOT, 2])
-def test_repeats_agree_with_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(suffixes, "HOT", hot)
+@pytest.mark.parametrize("crowd, length", [(suffixes.CROWD, 100), (2, 100), (suffixes.CROWD, 200), (5, 40)])
+def test_repeats_agree_with_brute_force(spark, monkeypatch, crowd, length):
+    monkeypatch.setattr(suffixes, "CROWD", crowd)
+    monkeypatch.setattr(suffixes, "BLOCK", 3000)
     rows = repeat_cases()
     df = spark.createDataFrame([(i, t, "en", "z") for i, t in rows], DOCS).repartition(3)
-    got = suffixes.removed(df, suffixes.find_repeats(df)).collect()
-    assert {r["doc_id"]: tuple(r)[1:] for r in got} == brute_repeats(rows)
+    got = suffixes.removed(df, suffixes.find_repeats(df, length), length).collect()
+    assert {r["doc_id"]: tuple(r)[1:] for r in got} == brute_repeats(rows, length)
 
 
 def test_kept_texts(spark):
@@ -110,6 +130,23 @@ def test_kept_texts(spark):
     assert got == {1: rows[0][1], 3: None, 4: "ééé"}
 
 
+def test_kept_texts_treats_empty_documents_alike_with_and_without_n_chars(spark):
+    rows = [(1, "abcdefghij" * 10, 100), (2, "abcdefghij" * 10, 100), (3, "", None), (4, None, None), (5, "", 0), (6, "x" + "abcdefghij" * 10, 101)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    for d in (df, df.drop("n_chars")):
+        got = {r["doc_id"]: r["text"] for r in suffixes.kept_texts(d, suffixes.find_repeats(d)).collect()}
+        assert got == {1: rows[0][1], 3: "", 4: None, 5: "", 6: "x"}
+
+
+def test_many_equal_separators(spark):
+    line = "=" * 120 + "\n"
+    rng = random.Random(6)
+    rows = [(i, "".join(line + str(rng.random()) for _ in range(2500))) for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = suffixes.removed(df, suffixes.find_repeats(df)).collect()
+    assert {r["doc_id"]: tuple(r)[1:] for r in got} == brute_repeats(rows)
+
+
 def test_loser_tree_merges_and_knows_shared_prefixes():
     rng = random.Random(3)
     for k in (1, 2, 3, 5, 8):

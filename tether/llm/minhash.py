@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tether.llm.kernels import CHUNK_BYTES, chunks, mix, shingle_sets, texts_of
+from tether.llm.skew import join_counted
 from tether.operators.graph import connected_components
 from tether.runtime.scratch import Scratch
 
@@ -266,17 +267,6 @@ def alike_beside(apart: DataFrame, groups: DataFrame, s: Settings) -> DataFrame:
     return p.join(q, on).select(F.col("ax").alias("a"), F.col("bx").alias("b")).distinct()
 
 
-def join_counted(left: DataFrame, right: DataFrame, on: list[str], total: int) -> DataFrame:
-    """left join right on ``on``, where ``right`` has one row a key and the number ``n`` of its rows in ``left``.
-
-    Keys with over a thousandth of all ``total`` rows are fewer than a thousand, so these are broadcast and their rows
-    stay where they are; no task of the shuffle gets more than a thousandth of the rows by one key.
-    """
-    hot = right.where(F.col("n") * 1000 > F.lit(total))
-    cold = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(right.where(F.col("n") * 1000 <= F.lit(total)), on)
-    return left.join(F.broadcast(hot), on).unionByName(cold)
-
-
 def near_duplicates(docs: DataFrame, s: Settings = Settings(), scratch: Scratch | None = None) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of each row of ``docs(doc_id, text, ...)``.
 

@@ -1,19 +1,21 @@
 """Removal of repeated byte strings by a distributed merge sort of anchored suffixes.
 
 Of every window of ``length`` bytes the gram of ``GRAM`` bytes with the smallest hash is the anchor, so equal windows
-have equal anchors at equal distances. Only anchors whose gram occurs again go on: each gives a segment, the bytes that
-the windows of this anchor cover, seen as the suffix from the anchor with its left context behind it. Executors sort
-the segments of their documents into runs, in which equal segments are combined, and exchange them by range,
-front-coded (length of the prefix shared with the entry before, and the rest). The runs of a range are merged by a
-loser tree whose comparisons start behind the prefixes already known to be shared. In the merged order equal segments
-are neighbours, and segments that share an anchor's gram are compared window by window. A window that also starts
-earlier is removed. Documents with equal texts are settled before all this by their digests.
+have equal anchors at equal distances. Only anchors whose gram occurs again go on: each gives a segment, the suffix from
+the anchor as far as the windows of this anchor reach, with its left context behind it. Executors sort the segments of
+their documents into runs, in which equal segments are combined, deal them out so that suffixes with one gram meet, and
+send them front-coded (length of the prefix shared with the entry before, and the rest). The runs are merged by a loser
+tree whose comparisons start behind the prefixes already known to be shared. The shared prefixes of neighbours in the
+merged order tell how far to the right of the anchor suffixes are alike, and the same of their left contexts how far to
+the left: a window is a repeat if both reach over it, and all such windows but the first go. Documents with equal texts
+are settled before all this by their digests.
 """
 
 from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,16 +23,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tether.llm.kernels import Rolling, chunks, texts_of
+from tether.llm.skew import join_counted
 from tether.runtime.scratch import Scratch
 
 LENGTH = 100
 GRAM = 24
 #: Segments that a range of the exchange holds, on average.
 RANGE = 20_000
-#: Bytes of segments and of windows' hashes that a task holds before it sends a run.
+#: Bytes of segments that a task holds before it sends a run.
 RUN_BYTES = 4 << 20
-#: A gram with more occurrences is hot: its windows are exchanged by their own hashes, not gathered by gram.
-HOT = 4_000
+#: Bytes of a text that are searched for anchors at once.
+BLOCK = 1 << 20
+#: Occurrences of a gram beyond which its windows are dealt out and merged one by one, as suffixes of their own from the
+#: window's start, so that no range gets more segments of one gram than this. The result does not depend on it.
+CROWD = 100_000
+#: Segments of the merged order that are compared at once, unless one gram has more.
+POOL = 8_000
 #: What tells documents apart, in their order: no doc_id, doc_id, digest of the text.
 SELF = ["none", "id", "sha"]
 
@@ -69,22 +77,39 @@ def shared(a: bytes, b: bytes, known: int) -> int:
 
 
 def front_code(entries: list[bytes]) -> tuple[bytes, bytes, bytes]:
-    """Shared prefix lengths, lengths of the rests, and the rests, of sorted strings shorter than 256 bytes."""
-    lcp, size, rest, before = bytearray(), bytearray(), [], b""
+    """Shared prefix lengths, lengths of the rests (both 32-bit), and the rests, of sorted strings."""
+    lcp, size, rest, before = [], [], [], b""
     for e in entries:
         k = shared(before, e, 0)
         lcp.append(k)
         size.append(len(e) - k)
         rest.append(e[k:])
         before = e
-    return bytes(lcp), bytes(size), b"".join(rest)
+    return np.array(lcp, np.int32).tobytes(), np.array(size, np.int32).tobytes(), b"".join(rest)
+
+
+def anchored(column: pa.Array, length: int):
+    """Yields (row, bytes, first, last, anchor, gram) of each text: its runs of windows with one anchor."""
+    for i, _, b, o in chunks(*texts_of(column), limit=BLOCK):
+        if len(o) == 2 and len(b) > BLOCK:
+            parts = []
+            for s in range(0, len(b), BLOCK):
+                sub = b[s : s + BLOCK + length - 1]
+                lo, hi, at, h = anchors(sub, np.array([0, len(sub)]), length)
+                parts.append((lo + s, hi + s, at + s, h))
+            yield i, b, *(np.concatenate(c) for c in zip(*parts))
+            continue
+        lo, hi, at, h = anchors(b, o, length)
+        edges = np.searchsorted(lo, o)
+        for k, (x, y, s, e) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), o[:-1].tolist(), o[1:].tolist())):
+            yield i + k, b[s:e], lo[x:y] - s, hi[x:y] - s, at[x:y] - s, h[x:y]
 
 
 class Run:
     """Reads a front-coded run one entry at a time; ``lcp`` is what the entry shares with the one before."""
 
     def __init__(self, lcp: bytes, size: bytes, rest: bytes):
-        self.lcps, self.sizes, self.rest = lcp, size, rest
+        self.lcps, self.sizes, self.rest = np.frombuffer(lcp, np.int32).tolist(), np.frombuffer(size, np.int32).tolist(), rest
         self.at, self.place, self.entry, self.lcp = -1, 0, b"", 0
 
     def step(self) -> bool:
@@ -146,33 +171,53 @@ def merge(runs: list[Run]):
             node //= 2
 
 
-def repeated_windows(segments: list[tuple[bytes, int, int]], length: int = LENGTH) -> list[tuple[int, int, int]]:
-    """Spans (key, begin, end) of the windows of segments (bytes, key, begin) that start earlier in another one."""
-    if len(segments) < 2:
+def entry_of(data: bytes, first: int, last: int, anchor: int, length: int) -> bytes:
+    """A segment: the suffix from the anchor to the end of the last window, its left context, and how long that is."""
+    return data[anchor : last + length] + data[first:anchor] + (anchor - first).to_bytes(4, "big")
+
+
+def repeated_windows(entries: list[bytes], known: list[int], places: list[tuple[int, int]], length: int = LENGTH) -> list[tuple[int, int, int]]:
+    """Spans (key, begin, end) of the windows of sorted segments that another one starts earlier with.
+
+    ``known`` is what an entry shares with the one before, ``places`` the (key, begin) of each segment. The window
+    that starts d bytes before the anchor is the same in two segments if they share length - d bytes from the anchor
+    on, so lie in one stretch of the order whose shared prefixes are that long, and the d bytes before it likewise.
+    """
+    n = len(entries)
+    if n < 2:
         return []
-    buf = np.frombuffer(b"".join(s[0] for s in segments), np.uint8)
-    size = np.array([len(s[0]) for s in segments])
-    key, begin = (np.array([s[k] for s in segments], np.int64) for k in (1, 2))
-    origin = size.cumsum() - size
-    n = size - length + 1
-    which = np.repeat(np.arange(len(n)), n)
-    inside = np.arange(n.sum()) - np.repeat(n.cumsum() - n, n)
-    start = origin[which] + inside
-    h = Rolling(buf).of(start, start + length)
-    order = np.lexsort((begin[which] + inside, key[which], h))
-    hs = h[order]
-    head = np.append(True, hs[1:] != hs[:-1])
-    first = order[np.flatnonzero(head)[head.cumsum() - 1]]
-    later = np.flatnonzero((key[which[order]] > key[which[first]]) | ((key[which[order]] == key[which[first]]) & (begin[which[order]] + inside[order] > begin[which[first]] + inside[first])))
-    view = np.lib.stride_tricks.sliding_window_view(buf, length)
-    same = [(view[start[order[later[i : i + 65536]]]] == view[start[first[later[i : i + 65536]]]]).all(axis=1) for i in range(0, len(later), 65536)]
-    gone = np.sort(order[later[np.concatenate(same)]]) if same else np.zeros(0, np.int64)
-    if not len(gone):
+    left = np.array([int.from_bytes(e[-4:], "big") for e in entries])
+    reach = np.array([len(e) - 4 for e in entries]) - left
+    key, begin = np.array(places, np.int64).reshape(-1, 2).T
+    anchor = begin + left
+    context = [e[r:-4][::-1] for e, r in zip(entries, reach.tolist())]
+    order = sorted(range(n), key=context.__getitem__)
+    back = np.array([0] + [shared(context[x], context[y], 0) for x, y in zip(order, order[1:])])
+    ahead = np.array(known)
+    ahead[0] = 0
+    by_place = np.lexsort((anchor, key))
+    side = np.empty(n, np.int64)
+    gone_row, gone_d = [], []
+    for d in range(int(left.max()) + 1):
+        own = by_place[((length - reach <= d) & (d <= left))[by_place]]
+        if len(own) < 2:
+            continue
+        side[order] = (back < d).cumsum()
+        right = (ahead < length - d).cumsum()
+        # the first of each class in the order of places stays
+        _, first = np.unique(right[own] * (n + 1) + side[own], return_index=True)
+        again = np.ones(len(own), bool)
+        again[first] = False
+        gone_row.append(own[again])
+        gone_d.append(np.full(int(again.sum()), d))
+    if not gone_row or not sum(map(len, gone_row)):
         return []
-    cut = np.flatnonzero((np.diff(gone) != 1) | (np.diff(which[gone]) != 0))
-    a, b = gone[np.append(0, cut + 1)], gone[np.append(cut, len(gone) - 1)]
-    w = which[a]
-    return list(zip(key[w].tolist(), (begin[w] + inside[a]).tolist(), (begin[w] + inside[b] + length).tolist()))
+    row, d = np.concatenate(gone_row), np.concatenate(gone_d)
+    order = np.lexsort((d, row))
+    row, d = row[order], d[order]
+    cut = np.flatnonzero((np.diff(row) != 0) | (np.diff(d) != 1))
+    i, j = np.append(0, cut + 1), np.append(cut, len(row) - 1)
+    return list(zip(key[row[i]].tolist(), (anchor[row[i]] - d[j]).tolist(), (anchor[row[i]] - d[i] + length).tolist()))
 
 
 @dataclass(frozen=True)
@@ -201,185 +246,145 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, scratch: Scratch | None
 
     def survey(batches):
         for batch in batches:
-            n, grams, times = [], [], []
-            for _, _, b, o in chunks(*texts_of(batch.column(3)), limit=1 << 20):
-                first, _, _, h = anchors(b, o, length)
-                edges = np.searchsorted(first, o)
-                for x, y, i, j in zip(o[:-1].tolist(), o[1:].tolist(), edges[:-1].tolist(), edges[1:].tolist()):
-                    n.append(y - x)
-                    g, c = np.unique(h[i:j], return_counts=True)
-                    grams.append(g)
-                    times.append(c)
+            n, grams = [], []
+            for _, text, _, _, _, h in anchored(batch.column(3), length):
+                n.append(len(text))
+                g, times = np.unique(h, return_counts=True)
+                # a gram's hash in the upper bits, and how often the document has it
+                grams.append(g << 15 | np.minimum(times, 32767))
             sizes = pa.array(np.array([0, *map(len, grams)]).cumsum().astype(np.int32))
-            flat = np.concatenate(grams) if grams else np.zeros(0, np.int64)
-            count = np.concatenate(times) if times else np.zeros(0, np.int64)
-            # a gram's hash in the upper bits, and whether it occurs again in its document
-            packed = flat << 1 | (count > 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.ListArray.from_arrays(sizes, pa.array(packed.astype(np.int64)))], [*SELF, "n_bytes", "grams"])
+            flat = np.concatenate(grams).astype(np.int64) if grams else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.ListArray.from_arrays(sizes, pa.array(flat))], [*SELF, "n_bytes", "grams"])
 
     seen = scratch.save(docs.mapInArrow(survey, "none boolean, id long, sha binary, n_bytes long, grams array<long>"), "survey")
     each = seen.groupBy(*SELF).agg(F.min("n_bytes").alias("n_bytes"), F.count("*").alias("n_rows"))
     # in sorted partitions these ids are in the order of the documents
     keys = scratch.save(each.orderBy(*SELF).withColumn("key", F.monotonically_increasing_id()), "keys")
-    first = keys.groupBy("sha").agg(F.min("key").alias("first"))
-    slim = scratch.save(keys.join(first, "sha"), "slim")
+    first = scratch.save(keys.groupBy("sha").agg(F.min("key").alias("first"), F.count("*").alias("n")), "first")
+    slim = scratch.save(join_counted(keys, first, ["sha"], keys.count()).drop("n"), "slim")
     firsts = slim.where(F.col("n_bytes") >= length).where("key = first").select("key", *SELF)
     each = seen.join(firsts, SELF).select("key", F.explode("grams").alias("g"))
-    each = each.select("key", F.shiftright("g", 1).alias("gram"), (F.col("g") % 2).alias("again"))
-    counts = each.groupBy("gram").agg((F.count("*") + F.max("again")).alias("n")).where("n > 1")
-    hits = each.join(counts, "gram").groupBy("key").agg(F.collect_set(F.when(F.col("n") <= HOT, F.col("gram"))).alias("grams"), F.collect_set(F.when(F.col("n") > HOT, F.col("gram"))).alias("hot"))
+    each = scratch.save(each.select("key", F.shiftright("g", 15).alias("gram"), (F.col("g") % 32768).alias("times")), "grams")
+    counts = scratch.save(each.groupBy("gram").agg(F.count("*").alias("n"), F.sum("times").alias("all")).where("all > 1"), "counts")
+    crowd = F.col("all") > CROWD
+    hits = join_counted(each, counts, ["gram"], each.count())
+    hits = hits.groupBy("key").agg(F.collect_list(F.when(~crowd, F.col("gram"))).alias("grams"), F.collect_list(F.when(crowd, F.col("gram"))).alias("crowds"), F.sum("times").alias("times"))
     hits = scratch.save(hits.join(firsts, "key"), "hits")
+    scratch.drop(each, counts, first)
     scratch.drop(seen, keys)
     scratch.settle()
-    total = hits.agg(F.sum(F.size("grams"))).first()[0] or 0
+    total = hits.agg(F.sum("times")).first()[0] or 0
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // RANGE)
 
     def sort_runs(batches):
         for batch in batches:
             keys = batch.column(0).to_pylist()
             spans: list[tuple[int, int, int]] = []
-            windows: list[tuple] = []
-            local: dict[bytes, tuple[int, int]] = {}
+            local: dict[bytes, tuple[int, int, int]] = {}
             held = 0
-            for i, _, b, o in chunks(*texts_of(batch.column(1)), limit=1 << 20):
-                lo, hi, at, h = anchors(b, o, length)
-                edges = np.searchsorted(lo, o)
-                data = b.tobytes()
-                for k in range(len(o) - 1):
-                    x, y, base, key = edges[k], edges[k + 1], int(o[k]), keys[i + k]
-                    for column in (2, 3):
-                        wanted = batch.column(column)[i + k].values.to_numpy()
-                        if not len(wanted):
-                            continue
-                        own = x + np.flatnonzero(np.isin(h[x:y], wanted))
-                        if column == 3:
-                            p = np.concatenate([np.arange(a, c + 1) for a, c in zip(lo[own].tolist(), hi[own].tolist())])
-                            windows.append((np.full(len(p), key), p - base, *_window_hashes(data, p, length)))
-                            held += 32 * len(p)
-                            continue
-                        for l, r, a, g in zip(lo[own].tolist(), hi[own].tolist(), at[own].tolist(), h[own].tolist()):
-                            # the gram's hash first, so that ranges of hashes are ranges of the order
-                            entry = g.to_bytes(6, "big") + data[a : r + length] + data[l:a] + bytes((a - l,))
-                            mine, known = (key, l - base), local.get(entry)
-                            if known is None:
-                                local[entry] = mine
-                                held += len(entry) + 150
-                            elif known != mine:
-                                later = max(known, mine)
-                                local[entry] = min(known, mine)
-                                spans.append((later[0], later[1], later[1] + r + length - l))
-                    if held >= RUN_BYTES:
-                        yield _batch(_runs(local, ranges), spans, windows, length)
-                        spans, windows, local, held = [], [], {}, 0
-            yield _batch(_runs(local, ranges), spans, windows, length)
-
-    schema = "range long, lcp binary, size binary, rest binary, places binary, key long, begin long, end long, h1 long, h2 long"
-    work = scratch.save(docs.join(hits, SELF).select("key", "text", "grams", "hot").mapInArrow(sort_runs, schema), "runs")
+            for k, text, lo, hi, at, h in anchored(batch.column(1), length):
+                key, data = keys[k], text.tobytes()
+                own = np.isin(h, batch.column(2)[k].values.to_numpy())
+                # the range that hashes a gram to 48 bits, and so all its suffixes, fall in
+                found = [zip(lo[own].tolist(), hi[own].tolist(), at[own].tolist(), (h[own].astype(object) * ranges >> 48).tolist())]
+                crowd = np.isin(h, batch.column(3)[k].values.to_numpy())
+                if crowd.any():
+                    p = np.concatenate([np.arange(a, b + 1) for a, b in zip(lo[crowd].tolist(), hi[crowd].tolist())])
+                    windows = (Rolling(text).of(p, p + length) >> np.uint64(16)).astype(object) * ranges >> 48
+                    found.append(zip(p.tolist(), p.tolist(), p.tolist(), windows.tolist()))
+                for first, last, anchor, part in chain(*found):
+                    entry = entry_of(data, first, last, anchor, length)
+                    mine, other = (key, first, part), local.get(entry)
+                    if other is None:
+                        local[entry] = mine
+                        held += len(entry) + 150
+                    elif other != mine:
+                        later = max(other, mine)
+                        local[entry] = min(other, mine)
+                        begin, end = later[1], later[1] + len(entry) - 4
+                        if spans and spans[-1][0] == later[0] and spans[-1][1] <= begin <= spans[-1][2]:
+                            spans[-1] = (later[0], spans[-1][1], max(end, spans[-1][2]))
+                        else:
+                            spans.append((later[0], begin, end))
+                            held += 150
+                if held >= RUN_BYTES:
+                    yield _batch(_runs(local), spans)
+                    spans, local, held = [], {}, 0
+            yield _batch(_runs(local), spans)
+
+    schema = "range long, lcp binary, size binary, rest binary, places binary, key long, begin long, end long"
+    work = scratch.save(docs.join(hits, SELF).select("key", "text", "grams", "crowds").mapInArrow(sort_runs, schema), "runs")
     scratch.settle()
 
     def merge_runs(table: pa.Table) -> pa.Table:
         lcp, size, rest, places = (table.column(c).to_pylist() for c in ("lcp", "size", "rest", "places"))
         runs = [Run(*x) for x in zip(lcp, size, rest)]
-        spots = [np.frombuffer(p, np.int64).reshape(-1, 2) for p in places]
+        spots = [np.frombuffer(p, np.int64).reshape(-1, 2).tolist() for p in places]
         spans: list[tuple[int, int, int]] = []
-        group: list[tuple[bytes, int, int]] = []
-        pool: list[tuple[bytes, int, int]] = []
-        last, best = None, None
-
-        def close() -> None:
-            if last is not None:
-                left = last[-1]
-                cut = len(last) - 1 - left
-                group.append((last[cut:-1] + last[6:cut], *best))
-
-        def flush(least: int) -> None:
-            if len(group) > 1:
-                pool.extend(group)
-            group.clear()
-            if len(pool) > least:
-                spans.extend(repeated_windows(pool, length))
-                pool.clear()
+        pool: tuple[list, list, list] = ([], [], [])
+        begin = 0  # of the group of suffixes with one gram in the pool
+
+        def compare() -> None:
+            spans.extend(repeated_windows(*pool, length))
+            for c in pool:
+                c.clear()
 
         for r, entry, known in merge(runs):
-            mine = tuple(spots[r][runs[r].at].tolist())
-            if last is not None and known == len(entry) == len(last):
-                later = max(best, mine)
+            mine = tuple(spots[r][runs[r].at])
+            if pool[0] and known == len(entry) == len(pool[0][-1]):
+                best = pool[2][-1]
                 if best != mine:
-                    spans.append((later[0], later[1], later[1] + len(entry) - 7))
-                best = min(best, mine)
+                    later = max(best, mine)
+                    spans.append((later[0], later[1], later[1] + len(entry) - 4))
+                    pool[2][-1] = min(best, mine)
                 continue
-            close()
-            if last is not None and known < 6:
-                flush(4_000)
-            last, best = entry, mine
-        close()
-        flush(0)
+            if known < GRAM:
+                if len(pool[0]) - begin == 1:  # a lone suffix repeats nothing
+                    for c in pool:
+                        c.pop()
+                if len(pool[0]) > POOL:
+                    compare()
+                begin = len(pool[0])
+                known = 0
+            for c, x in zip(pool, (entry, known, mine)):
+                c.append(x)
+        compare()
         cols = [list(c) for c in zip(*spans)] or [[]] * 3
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("key", "begin", "end"), cols)})
 
-    runs = work.where("range is not null").select("range", "lcp", "size", "rest", "places")
+    # a given number of partitions is not coalesced by bytes, which say little of the work
+    runs = work.where("range is not null").select("range", "lcp", "size", "rest", "places").repartition(ranges, "range")
     merged = runs.groupBy("range").applyInArrow(merge_runs, "key long, begin long, end long")
     ready = work.where("end is not null").select("key", "begin", "end")
-    hot = work.where("h1 is not null").select("key", "begin", "h1", "h2")
-    least = hot.groupBy("h1", "h2").agg(F.min(F.struct("key", "begin")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = hot.join(least, ["h1", "h2"]).where(F.struct("key", "begin") > F.col("first")).select("key", "begin", (F.col("begin") + length).alias("end"))
-    spans = merged.unionByName(ready).unionByName(again).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"))
+    spans = merged.unionByName(ready).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"))
     spans = scratch.save(spans, "spans")
     scratch.drop(work, hits)
     scratch.settle()
     return Repeats(slim, spans)
 
 
-def _window_hashes(data: bytes, p: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    found = [hashlib.blake2b(data[x : x + length], digest_size=16).digest() for x in p.tolist()]
-    h = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
-    return h[:, 0], h[:, 1]
-
-
-def _runs(local: dict[bytes, tuple[int, int]], ranges: int) -> list[tuple]:
+def _runs(local: dict[bytes, tuple[int, int, int]]) -> list[tuple]:
     """A front-coded run of the segments of each range."""
     order = sorted(local)
-    part = np.array([int.from_bytes(e[:6], "big") * ranges >> 48 for e in order], np.int64)
+    part = np.array([local[e][2] for e in order], np.int64)
     rows = []
     for p in np.unique(part).tolist():
-        own = order[np.searchsorted(part, p) : np.searchsorted(part, p + 1)]
-        rows.append((int(p), *front_code(own), np.array([local[e] for e in own], np.int64).tobytes()))
+        own = [order[k] for k in np.flatnonzero(part == p).tolist()] if len(order) else []
+        rows.append((p, *front_code(own), np.array([local[e][:2] for e in own], np.int64).tobytes()))
     return rows
 
 
-def _batch(rows: list[tuple], spans: list[tuple], windows: list[tuple], length: int) -> pa.RecordBatch:
-    """Rows of runs, of spans and of hot windows in one schema; a hot window that this batch has earlier is a span."""
-    if windows:
-        key, begin, h1, h2 = (np.concatenate(c) for c in zip(*windows))
-        order = np.lexsort((begin, key, h2, h1))
-        key, begin, h1, h2 = key[order], begin[order], h1[order], h2[order]
-        again = np.append(False, (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1]))
-        head = np.flatnonzero(~again)[(~again).cumsum() - 1]
-        later = again & ((key > key[head]) | (begin > begin[head]))
-        order = np.lexsort((begin[later], key[later]))
-        k, b = key[later][order], begin[later][order]
-        if len(k):
-            cut = np.flatnonzero((np.diff(k) != 0) | (np.diff(b) != 1))
-            i, j = np.append(0, cut + 1), np.append(cut, len(k) - 1)
-            spans = spans + list(zip(k[i].tolist(), b[i].tolist(), (b[j] + length).tolist()))
-        key, begin, h1, h2 = key[~again], begin[~again], h1[~again], h2[~again]
-    else:
-        key = begin = h1 = h2 = np.zeros(0, np.int64)
-    r, s, w = len(rows), len(spans), len(key)
+def _batch(rows: list[tuple], spans: list[tuple]) -> pa.RecordBatch:
+    """Rows of runs and of spans in one schema."""
+    r, s = len(rows), len(spans)
     run = [list(c) for c in zip(*rows)] or [[]] * 5
     span = np.array(spans, np.int64).reshape(-1, 3).T
-    gap = lambda n: pa.nulls(n, pa.int64())
-    join = lambda *parts: pa.concat_arrays([p if isinstance(p, pa.Array) else pa.array(p, pa.int64()) for p in parts])
     cols = [
-        join(run[0], gap(s + w)),
-        *(pa.concat_arrays([pa.array(c, pa.binary()), pa.nulls(s + w, pa.binary())]) for c in run[1:]),
-        join(gap(r), span[0], key),
-        join(gap(r), span[1], begin),
-        join(gap(r), span[2], gap(w)),
-        join(gap(r + s), h1),
-        join(gap(r + s), h2),
+        pa.array(run[0] + [None] * s, pa.int64()),
+        *(pa.array(c + [None] * s, pa.binary()) for c in run[1:]),
+        *(pa.concat_arrays([pa.nulls(r, pa.int64()), pa.array(c)]) for c in span),
     ]
-    return pa.RecordBatch.from_arrays(cols, ["range", "lcp", "size", "rest", "places", "key", "begin", "end", "h1", "h2"])
+    return pa.RecordBatch.from_arrays(cols, ["range", "lcp", "size", "rest", "places", "key", "begin", "end"])
 
 
 def union_of(spans: list[dict]) -> list[tuple[int, int]]:
@@ -430,18 +435,24 @@ def removed(docs: DataFrame, found: Repeats, length: int = LENGTH) -> DataFrame:
 def kept_texts(docs: DataFrame, found: Repeats, length: int = LENGTH) -> DataFrame:
     """``docs`` with the repeated bytes taken out of ``text``; a character that a cut splits goes with it.
 
-    Documents of which nothing is left go; those that were empty before stay. All columns stay.
+    Documents of which nothing is left go; those that were empty or null before stay. All columns stay, and a column
+    ``n_chars`` is set to the characters left where there is a text.
     """
     names = docs.columns
     spot = names.index("text")
 
     def run(batches):
         for batch in batches:
-            texts = []
-            for text, spans in zip(batch.column(spot), batch.column(len(names)).to_pylist()):
+            texts, left = [], []
+            for k, (text, spans) in enumerate(zip(batch.column(spot), batch.column(len(names)).to_pylist())):
                 t = text.as_py()
-                texts.append(t if not spans else _cut(t.encode(), union_of(spans)).decode("utf-8", "ignore"))
-            cols = [*batch.columns[:spot], pa.array(texts, pa.string()), *batch.columns[spot + 1 : len(names)]]
+                if spans:
+                    t = _cut(t.encode(), union_of(spans)).decode("utf-8", "ignore")
+                if t or not spans:
+                    texts.append(t)
+                    left.append(k)
+            kept = batch.take(pa.array(left, pa.int64()))
+            cols = [*kept.columns[:spot], pa.array(texts, pa.string()), *kept.columns[spot + 1 : len(names)]]
             yield pa.RecordBatch.from_arrays(cols, names)
 
     mine = [f"_{c}" for c in SELF]
@@ -452,5 +463,5 @@ def kept_texts(docs: DataFrame, found: Repeats, length: int = LENGTH) -> DataFra
     out = alive.select(*[F.col(f"`{c}`") for c in names], "_spans")
     cut = out.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes))
     if "n_chars" not in names:
-        return cut.where("text is null or text <> '' ")
-    return cut.where("text is null or text <> '' or n_chars = 0").withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        return cut
+    return cut.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
