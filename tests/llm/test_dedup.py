@@ -188,5 +188,31 @@ def test_quantisation_bound_holds():
     x = np.random.default_rng(5).normal(size=(50, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
     q, s, e = embeddings.quantise(x)
+    q = q.astype(float)
     gap = np.abs(x @ x.T - (q @ q.T) * s[:, None] * s[None, :])
     assert (gap <= e[:, None] + (1 + e[:, None]) * e[None, :] + 1e-9).all()
+
+
+def test_tiny_and_huge_vectors_take_no_links_from_others(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=8)
+    rows = [(i, (base + rng.normal(scale=0.01, size=8)).tolist()) for i in range(5)]
+    rows += [(100 + i, (rng.normal(size=8) * 1e-200).tolist()) for i in range(40)] + [(200, (base * 1e-300).tolist()), (201, (base * 1e300).tolist()), (202, [5e-324] + [0.0] * 7)]
+    v = np.array([r[1] for r in rows])
+    u = embeddings.unit(v)
+    near = (u @ u.T >= 0.9) & ~np.eye(len(u), dtype=bool)
+    for block in (8192, 10):
+        got = {r["vec_id"]: r["n_links"] for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=block).collect()}
+        assert got == {r[0]: int(k) for r, k in zip(rows, near.sum(axis=1))}
+
+
+def test_pairs_at_the_threshold_are_settled_in_full_precision(spark):
+    a = np.zeros(6)
+    a[0] = 1.0
+    rows = [(0, a.tolist())]
+    for k, c in enumerate((0.9 + 1e-9, 0.9 - 1e-9, 0.95, 0.85)):
+        v = np.zeros(6)
+        v[0], v[k + 1] = c, np.sqrt(1 - c * c)
+        rows.append((k + 1, v.tolist()))
+    got = {r["vec_id"]: r["component_id"] for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 0, 4: 4}
