@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 
@@ -197,3 +198,79 @@ def test_calls_are_linked_ordered_and_validated(spark):
     assert got[0]["json"].index('"id":"a"') < got[0]["json"].index('"id":"b"') and '"result":"1"' in got[0]["json"]
     assert "waits for itself" in got[3]["json"] and "unreadable_calls" in got[4]["json"] and "é" in got[3]["json"]
     assert toolcalls.format_chat(messages.limit(0), results, schemas).count() == 0
+
+
+def test_calls_in_odd_json_are_kept_as_text(spark):
+    deep = "[" * 5000 + "]" * 5000
+    odd = [f'[{{"id":"a","name":"f","arguments":{a}}}]' for a in (deep, "[" * 300 + "]" * 300, "NaN", "-Infinity", "1e999", '"\\ud800"', "{")] + ['[{"id":"\\ud800","name":"f"}]', deep]
+    rows = [(k, 0, "user", "x", raw) for k, raw in enumerate(odd)] + [(50, 0, "user", None, '[{"id":"\\ud83d\\ude00","name":"f","arguments":"[1"}]')]
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, tool_calls string")
+    results = spark.createDataFrame([("😀", "1")], "call_id string, content string")
+    schema = {"f": {"type": ["string", "null"]}}
+    got = {r["conv_id"]: r for r in toolcalls.format_chat(messages, results, schema).collect()}
+    assert len(got) == len(rows)
+    for k in range(len(odd)):
+        assert got[k]["n_calls"] == 0 and json.loads(got[k]["json"])["unreadable_calls"] == odd[k]
+    assert tuple(got[50])[3:6] == (1, 1, 1)
+    assert toolcalls.problems(True, {"type": "integer"}) and not toolcalls.problems(None, {"type": ["integer", "null"]})
+
+
+def brute_targets(sizes, cap=3):
+    """Water-filling by bisection on the common level."""
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: (1, 2, 3)[k % 3] for k, s in enumerate(names)}
+    low, high = 0.0, 1e12
+    for _ in range(300):
+        mid = (low + high) / 2
+        if sum(min(cap * sizes[s], mid * weight[s]) for s in sizes) < sum(sizes.values()):
+            low = mid
+        else:
+            high = mid
+    return {s: min(cap * sizes[s], high * weight[s]) for s in sizes}
+
+
+def test_targets_and_dual_agree_with_bisection(spark):
+    rng = random.Random(8)
+    for sizes in ({"a": 100, "b": 5, "c": 900, None: 50, "é": 7, "Z": 1}, {"x": 10}, {"x": 0, "y": 30}, {f"s{k}": rng.randrange(1, 10**6) for k in range(20)}):
+        got = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+        want = brute_targets(sizes)
+        assert {r["source"] for r in got} == set(sizes)
+        assert all(r["target"] == pytest.approx(want[r["source"]], rel=1e-9, abs=1e-9) for r in got)
+    docs = {s: [rng.randrange(1, 400) for _ in range(80)] for s in "abc"}
+    hist = [(s, n, v.count(n)) for s, v in docs.items() for n in set(v)]
+    total = {s: sum(v) for s, v in docs.items()}
+    goals = [(s, total[s], t) for s, t in zip("abc", (0.3 * total["a"], 1.4 * total["b"], 2.9 * total["c"]))]
+    rows = mixing.solve(spark.createDataFrame(hist, "source string, size long, n long"), spark.createDataFrame(goals, "source string, source_size long, target double"), Scratch(spark)).collect()
+    for r in rows:
+        have = sum(x * min(3.0, np.exp(min(50, r["lam"] * x / r["mean"]))) for x in docs[r["source"]])
+        assert have == pytest.approx(r["target"], rel=1e-6)
+
+
+def test_image_and_feature_agree_with_a_plain_reading():
+    for size in (0, 5, 192, 193, 3000):
+        p = media.pad(bytes(random.Random(size).randrange(256) for _ in range(size)))
+        png = media.encode_png(p)
+        body, at = b"", 8
+        while at < len(png):
+            n = int.from_bytes(png[at : at + 4], "big")
+            body += png[at + 8 : at + 8 + n] if png[at + 4 : at + 8] == b"IDAT" else b""
+            at += 12 + n
+        raw = zlib.decompress(body)
+        rows = [raw[k + 1 : k + 193] for k in range(0, len(raw), 193)]
+        assert b"".join(rows) == p and media.decode_png(png) == p
+        mean = [sum(p[c::3]) / (len(p) // 3) for c in range(3)]
+        assert media.feature(p).startswith(f"64x{len(rows)} rgb=" + ",".join(f"{m:.3f}" for m in mean))
+
+
+def test_rules_agree_with_a_plain_reading(spark):
+    rng = np.random.default_rng(9)
+    x = rng.random((300, len(quality.STATISTICS)))
+    y = ((x[:, 1] > 0.5) & (x[:, 4] <= 0.6)).astype(float)
+    model = quality.fit(x, y)
+    assert model.rules
+    rows = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "doc_id long, " + ", ".join(f"{c} double" for c in quality.STATISTICS))
+    got = {r["doc_id"]: r["score"] for r in quality.score(rows, model).collect()}
+    for i, v in enumerate(x):
+        z = model.bias + sum(w for r, w in zip(model.rules, model.weights) if all(v[k] <= b if most else v[k] > b for k, most, b in r))
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-12)
+    assert np.mean([(got[i] >= 0.5) == bool(y[i]) for i in range(300)]) > 0.95

@@ -15,15 +15,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 REFERENCE = "$call:"
+#: Levels of nesting up to which JSON is read.
+DEPTH = 100
 _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
 
+def _finite(number: str) -> float:
+    x = float(number)
+    if x in (float("inf"), float("-inf")):
+        raise ValueError("beyond the range of numbers")
+    return x
+
+
+def _no_constant(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
+def read_json(raw: str):
+    """The value of a JSON text; ValueError if it is none, is nested too deeply, or has a lone surrogate or no finite number."""
+    try:
+        value = json.loads(raw, parse_float=_finite, parse_constant=_no_constant)
+    except RecursionError as e:
+        raise ValueError("nested too deeply") from e
+    level = [value]
+    for _ in range(DEPTH):
+        level = [x for v in level if isinstance(v, (dict, list)) for x in (v.values() if isinstance(v, dict) else v)]
+        if not level:
+            break
+    else:
+        raise ValueError("nested too deeply")
+    if "\\u" in raw:
+        canonical(value).encode()  # a lone surrogate is a UnicodeEncodeError, which is a ValueError
+    return value
+
+
 def read_calls(raw: str | None) -> list[dict] | None:
-    """The calls of a message, each with id, name and arguments; None if the JSON is not a list of such objects."""
+    """The calls of a message, each with id, name and arguments; None if the JSON is not a list of such objects.
+
+    JSON that ``read_json`` refuses is not such a list. Arguments that are a string stay one if it is no JSON.
+    """
     if raw is None or not raw.strip():
         return []
     try:
-        calls = json.loads(raw)
+        calls = read_json(raw)
     except ValueError:
         return None
     if not isinstance(calls, list) or not all(isinstance(c, dict) and isinstance(c.get("id"), str) and isinstance(c.get("name"), str) for c in calls):
@@ -33,18 +67,23 @@ def read_calls(raw: str | None) -> list[dict] | None:
         a = c.get("arguments", {})
         if isinstance(a, str):  # arguments are often JSON in JSON
             try:
-                a = json.loads(a)
+                a = read_json(a)
             except ValueError:
                 pass
         out.append({"id": c["id"], "name": c["name"], "arguments": a})
     return out
 
 
+def _is(value, kind: str) -> bool:
+    return isinstance(value, _TYPES[kind]) and not (isinstance(value, bool) and kind in ("integer", "number"))
+
+
 def problems(value, schema: dict, at: str = "arguments") -> list[str]:
     """What breaks a schema of type, enum, minimum, maximum, required, properties, additionalProperties and items."""
-    kind = schema.get("type")
-    if kind and (not isinstance(value, _TYPES[kind]) or (isinstance(value, bool) and kind in ("integer", "number"))):
-        return [f"{at}: not of type {kind}"]
+    kinds = schema.get("type") or []
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    if kinds and not any(_is(value, k) for k in kinds):
+        return [f"{at}: not of type {' or '.join(kinds)}"]
     out = []
     if "enum" in schema and value not in schema["enum"]:
         out.append(f"{at}: not one of the allowed values")
@@ -104,7 +143,7 @@ def ordered(calls: list[dict]) -> tuple[list[dict], set[int]]:
 
 
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
 def format_message(role: str | None, text: str | None, raw: str | None, results: dict[str, str | None], schemas: dict[str, dict]) -> tuple[int, int, int, str]:
@@ -131,7 +170,8 @@ def format_chat(messages: DataFrame, results: DataFrame, schemas: dict[str, dict
     ``messages(conv_id, turn, role, text, tool_calls, ...)`` has calls as a JSON list, or null; ``results(call_id,
     content, ...)`` has at most one content for a call that counts, the smallest of several. Calls without a result
     stay unlinked, results without a call are left out. Repeated rows come out as often; nulls stay null. Rows are
-    grouped by message only, and a message's calls are as many as its own text lists.
+    grouped by message only, and a message's calls are as many as its own text lists. A list of calls that is no JSON,
+    is nested over ``DEPTH`` levels, or holds a lone surrogate, NaN or an infinite number is kept as text.
     """
     m = messages.select("conv_id", "turn", "role", "text", "tool_calls").groupBy("conv_id", "turn", "role", "text", "tool_calls").agg(F.count("*").alias("times"))
     m = m.withColumn("mid", F.sha2(F.to_json(F.struct("conv_id", "turn", "role", "text", "tool_calls")), 256))
