@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tether.llm.kernels import Rolling, chunks, texts_of
+from tether.llm.kernels import Rolling, chunks, mix, texts_of
 from tether.llm.skew import join_counted
 from tether.runtime.scratch import Scratch
 
@@ -285,13 +285,11 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, scratch: Scratch | None
             for k, text, lo, hi, at, h in anchored(batch.column(1), length):
                 key, data = keys[k], text.tobytes()
                 own = np.isin(h, batch.column(2)[k].values.to_numpy())
-                # the range that hashes a gram to 48 bits, and so all its suffixes, fall in
-                found = [zip(lo[own].tolist(), hi[own].tolist(), at[own].tolist(), (h[own].astype(object) * ranges >> 48).tolist())]
+                found = [zip(lo[own].tolist(), hi[own].tolist(), at[own].tolist(), _range(h[own].astype(np.uint64), ranges))]
                 crowd = np.isin(h, batch.column(3)[k].values.to_numpy())
                 if crowd.any():
                     p = np.concatenate([np.arange(a, b + 1) for a, b in zip(lo[crowd].tolist(), hi[crowd].tolist())])
-                    windows = (Rolling(text).of(p, p + length) >> np.uint64(16)).astype(object) * ranges >> 48
-                    found.append(zip(p.tolist(), p.tolist(), p.tolist(), windows.tolist()))
+                    found.append(zip(p.tolist(), p.tolist(), p.tolist(), _range(Rolling(text).of(p, p + length), ranges)))
                 for first, last, anchor, part in chain(*found):
                     entry = entry_of(data, first, last, anchor, length)
                     mine, other = (key, first, part), local.get(entry)
@@ -363,6 +361,11 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, scratch: Scratch | None
     return Repeats(slim, spans)
 
 
+def _range(h: np.ndarray, ranges: int) -> list[int]:
+    """The range that all suffixes of a gram fall in. Grams are anchors for their small hashes, so these are mixed anew."""
+    return ((mix(h) >> np.uint64(33)).astype(np.int64) * ranges >> 31).tolist()
+
+
 def _runs(local: dict[bytes, tuple[int, int, int]]) -> list[tuple]:
     """A front-coded run of the segments of each range."""
     order = sorted(local)
