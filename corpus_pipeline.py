@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tether.llm import language, minhash, mixing, packing, suffixes
@@ -32,11 +32,16 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture takes it."""
-    taken = mixing.mix(docs.select("doc_id", "source", "text")).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
-    taken = taken.withColumnRenamed("doc_id", "_taken")
-    both = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_taken")))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """Each document as often as the mixture takes it.
+
+    Rows with one doc_id are told apart by source and text; rows that agree in these have one count each.
+    """
+    key = F.sha2(F.to_json(F.struct("doc_id", "source", "text")), 256)
+    taken = mixing.mix(docs.select(key.alias("doc_id"), "source", "text")).groupBy("doc_id").agg(F.sort_array(F.collect_list("copies")).alias("_copies"))
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
+    both = docs.withColumn("_key", key).join(taken.withColumnRenamed("doc_id", "_key"), "_key").withColumn("_nth", nth)
+    times = F.element_at("_copies", F.col("_nth"))
+    return both.where(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
