@@ -26,6 +26,11 @@ def test_fit_save_load_transform(spark, tmp_path):
     told = {r["rec_id"]: r for r in again.transform(new).collect()}
     assert told[9]["final_cluster"] == got[1]["final_cluster"] and not told[9]["is_new_entity"] and told[10]["is_new_entity"]
 
+    # the same record in a batch of others that share its words
+    more = spark.createDataFrame([(9, "CRYSTAL CLEAN, INC", "123 Main Street Rockford IL"), (11, "Crystal Clean Inc Two", "9 Oak St, Rockford IL"), (12, "Inc Crystal", "123 Main St, Peoria IL")], SCHEMA)
+    beside = next(r for r in again.transform(more).collect() if r["rec_id"] == 9)
+    assert beside == told[9]
+
     inbox, out = tmp_path / "inbox", tmp_path / "out"
     new.write.parquet(f"file://{inbox}")
     stream = spark.readStream.schema(SCHEMA).parquet(f"file://{inbox}")

@@ -66,14 +66,15 @@ def pair_similarities(pairs: DataFrame, kinds: dict[str, tuple[str, str]], min_d
     return out
 
 
-def similarity_join(strings: DataFrame, threshold: float, min_df: int = 2, strict: bool = True, s: str = "s") -> DataFrame:
+def similarity_join(strings: DataFrame, threshold: float, min_df: int = 2, strict: bool = True, s: str = "s", table: DataFrame | None = None) -> DataFrame:
     """(a, b, similarity) with a < b of the distinct strings whose cosine, to six digits, is above the threshold.
 
     Candidates come from a prefix filter that loses no pair: with each string's grams in one global order, commonest
     first, two strings above the threshold share a gram past the point where the squared weights so far reach the
     threshold's square. Common grams, whose postings are long, are thus hardly ever joined.
+    A corpus's ``table`` from ``idf`` makes the result independent of which other strings are given.
     """
-    p = postings(strings, min_df=min_df, s=s).withColumnRenamed(s, "s")
+    p = postings(strings, min_df=min_df, s=s, table=table).withColumnRenamed(s, "s")
     order = W.partitionBy("s").orderBy(F.desc("df"), "gram").rowsBetween(W.unboundedPreceding, 0)
     rare = p.withColumn("run", F.sum(F.col("w") * F.col("w")).over(order)).where(F.col("run") >= (threshold - 1e-6) ** 2 - 1e-9)
     x = rare.select("gram", F.col("s").alias("a"))

@@ -108,6 +108,18 @@ def ngram_idf(spark, d):
     return idf(records(spark, d).select(F.col("normalized_text").alias("s"))).withColumn("idf", F.round("idf", 6))
 
 
+@query(lambda: Query().records().weights("t", "select normalized_text as s from n").select("select g as gram, cast(df as bigint) as df, round(ln((1.0 + n) / (1.0 + df)) + 1.0, 6) as idf from td cross join tn where df >= 3 order by df desc, g limit 10000"))
+def tfidf_vocabulary(spark, d):
+    m = CFG.modeling.tfidf_params
+    table = idf(records(spark, d).select(F.col("normalized_text").alias("s")), min_df=m["min_df"])
+    return table.orderBy(F.desc("df"), "gram").limit(m["max_features"]).select("gram", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(lambda: Query().records().select("select rec_id, array_to_string(list_slice(string_split(normalized_text, ' '), 1, 5), ' ') as words from n"))
+def word_tokens(spark, d):
+    return records(spark, d).select("rec_id", F.array_join(F.slice(F.split("normalized_text", " "), 1, 5), " ").alias("words"))
+
+
 @query(lambda: Query().clustered().add("q", "select rec_id, normalized_text as a, min(normalized_text) over (partition by cluster) as b from c").scored("t", "q", "a", "b", "similarity", False).select("select rec_id, round(similarity, 6) as similarity from tx"))
 def string_similarity(spark, d):
     from pyspark.sql import Window as W
@@ -369,8 +381,7 @@ def resolve_new_records(spark, d):
     from tether.plans.resolver import Resolver
 
     rows = entities(spark, d)
-    model = Resolver(parsed=True).fit(rows.where("rec_id % 10 <> 3"))
-    return model.transform(rows.where("rec_id % 10 = 3")).select("rec_id", "final_cluster", "canonical_name", "canonical_address", "is_new_entity")
+    return Resolver(parsed=True).fit(rows).transform(rows).select("rec_id", "final_cluster", "canonical_name", "canonical_address", "is_new_entity")
 
 
 # vectors

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tether.config import Config
 from tether.operators import clustering, encode, neighbors
 from tether.operators.graph import connected_components
-from tether.operators.ngram import similarity_join
+from tether.operators.ngram import idf, similarity_join
 from tether.plans import score, stages
 from tether.runtime.scratch import Scratch
 
@@ -20,6 +20,25 @@ log = logging.getLogger(__name__)
 KEY = stages.KEY
 
 
+#: Settings that are accepted for the sake of configurations made elsewhere, and read by nothing here.
+NO_EFFECT = (
+    "modeling.sparse_reducers", "modeling.feature_variance_threshold", "modeling.semantic_batch_size", "modeling.cosine_consensus_batch_size",
+    "modeling.semantic_model", "modeling.profile_comparison_max_pairs_per_chunk", "modeling.umap_n_runs", "modeling.umap_params",
+    "modeling.umap_param_ranges", "modeling.similarity_tfidf", "validation.validate_cluster_batch_size", "validation.empty_state_is_null", "random_state",
+)
+
+
+def without_effect(cfg: Config) -> list[str]:
+    """The settings that differ from their defaults although nothing reads them."""
+
+    def value(c: Config, name: str):
+        for part in name.split("."):
+            c = getattr(c, part, None)
+        return c
+
+    return [n for n in NO_EFFECT if value(cfg, n) != value(Config(), n)]
+
+
 def block_clusters(df: DataFrame, cfg: Config) -> DataFrame:
     """Clusters without vectors: records are linked whose names are alike and whose addresses are alike.
 
@@ -79,14 +98,18 @@ class Resolver:
     parsed: bool = False
     semantic_col: str | None = None
 
-    def _prepare(self, df: DataFrame) -> DataFrame:
+    def _prepare(self, df: DataFrame, consolidated: bool = True) -> DataFrame:
         df = stages.normalize(df, self.config)
-        if self.parsed:
-            return stages.consolidate_addresses(stages.add_address_key(df), self.config)
-        return stages.parse_addresses(df, self.config)
+        if not self.parsed:
+            return stages.parse_addresses(df, self.config, consolidated)
+        df = stages.add_address_key(df)
+        return stages.consolidate_addresses(df, self.config) if consolidated else df
 
     def fit(self, df: DataFrame) -> ResolverModel:
         spark, cfg = df.sparkSession, self.config
+        log.setLevel(cfg.output.log_level)
+        for name in without_effect(cfg):
+            log.warning("the setting %s has no effect", name)
         scratch = Scratch(spark)
         rows = scratch.save(stages.names_by_address(scratch.save(self._prepare(df), "prepared")), "named")
         if self.method == "vector":
@@ -108,7 +131,8 @@ class Resolver:
         resolved = score.flag(score.score(score.apply_map(rows, cmap, cfg), cfg), cfg)
         if cfg.output.split_address_components:
             resolved = score.split_canonical_address(resolved)
-        return ResolverModel(self, cmap, members, scratch.save(resolved, "resolved"))
+        weights = [scratch.save(idf(members.select(F.col(c).alias("s"))), "idf") for c in ("normalized_text", KEY)]
+        return ResolverModel(self, cmap, members, *weights, scratch.save(resolved, "resolved"))
 
     def fit_transform(self, df: DataFrame) -> DataFrame:
         return self.fit(df).resolved
@@ -124,19 +148,22 @@ class ResolverModel:
     resolver: Resolver
     canonical_map: DataFrame
     members: DataFrame
+    name_idf: DataFrame
+    key_idf: DataFrame
     resolved: DataFrame | None = None
 
     def transform(self, df: DataFrame) -> DataFrame:
         """New records with the cluster of the most similar known record, or as new entities.
 
         A record joins the cluster of a member whose name and address are alike and whose state agrees; the most similar
-        one counts, then the smallest cluster.
+        one counts, then the smallest cluster. Similarities use the n-gram weights of the model's members, and addresses
+        are taken as parsed, so what a record gets does not depend on the others of its batch.
         """
         cfg = self.resolver.config
-        rows = self.resolver._prepare(df)
+        rows = self.resolver._prepare(df, consolidated=False)
         v = cfg.validation
-        names = stages.similar_to(rows.select(F.col("normalized_text").alias("s")), self.members.select(F.col("normalized_text").alias("s")), v.name_fuzz_ratio / 100.0)
-        keys = stages.similar_to(rows.select(F.col(KEY).alias("s")), self.members.select(F.col(KEY).alias("s")), v.address_fuzz_ratio / 100.0)
+        names = stages.similar_to(rows.select(F.col("normalized_text").alias("s")), self.members.select(F.col("normalized_text").alias("s")), v.name_fuzz_ratio / 100.0, self.name_idf)
+        keys = stages.similar_to(rows.select(F.col(KEY).alias("s")), self.members.select(F.col(KEY).alias("s")), v.address_fuzz_ratio / 100.0, self.key_idf)
         m = self.members.select(F.col("normalized_text").alias("m_name"), F.col(KEY).alias("m_key"), F.col("addr_state").alias("m_state"), "final_cluster")
         pairs = rows.select("rec_id", "normalized_text", KEY, "addr_state").join(names.select(F.col("a").alias("normalized_text"), F.col("b").alias("m_name"), F.col("similarity").alias("s1")), "normalized_text")
         pairs = pairs.join(m, "m_name").join(keys.select(F.col("a").alias(KEY), F.col("b").alias("m_key"), F.col("similarity").alias("s2")), [KEY, "m_key"])
@@ -164,10 +191,11 @@ class ResolverModel:
         r = self.resolver
         spark.createDataFrame([(r.config.to_json(), r.method, r.parsed, r.semantic_col)], "config string, method string, parsed boolean, semantic_col string").coalesce(1).write.mode("overwrite").json(f"{path}/settings")
         self.canonical_map.write.mode("overwrite").parquet(f"{path}/canonical_map")
-        self.members.write.mode("overwrite").parquet(f"{path}/members")
+        for name in ("members", "name_idf", "key_idf"):
+            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> ResolverModel:
         r = spark.read.schema("config string, method string, parsed boolean, semantic_col string").json(f"{path}/settings").first()
         resolver = Resolver(Config.from_json(r["config"]), r["method"], r["parsed"], r["semantic_col"])
-        return cls(resolver, spark.read.parquet(f"{path}/canonical_map"), spark.read.parquet(f"{path}/members"))
+        return cls(resolver, *(spark.read.parquet(f"{path}/{name}") for name in ("canonical_map", "members", "name_idf", "key_idf")))

@@ -89,12 +89,13 @@ def consolidate_addresses(df: DataFrame, cfg: Config = CFG) -> DataFrame:
     return df.join(m, F.col(KEY) == F.col("original"), "left").withColumn(KEY, F.coalesce("canonical", KEY)).drop("original", "canonical")
 
 
-def parse_addresses(df: DataFrame, cfg: Config = CFG) -> DataFrame:
+def parse_addresses(df: DataFrame, cfg: Config = CFG, consolidated: bool = True) -> DataFrame:
     """Parses the joined address columns into parts, builds the key and consolidates it; without any, parts are ''."""
     if cfg.columns.address_cols:
         line = squeeze(F.concat_ws(" ", *[text(F.col(c)) for c in cfg.columns.address_cols]))
         df = parse_address(df, line)
-    return consolidate_addresses(add_address_key(df), cfg)
+    df = add_address_key(df)
+    return consolidate_addresses(df, cfg) if consolidated else df
 
 
 def names_by_address(df: DataFrame) -> DataFrame:
@@ -125,10 +126,13 @@ def validate_members(df: DataFrame, prof: DataFrame, cfg: Config = CFG) -> DataF
     return rows.withColumn("is_valid", F.coalesce(ok, F.lit(False))).drop("p_name", "p_address", "p_state")
 
 
-def similar_to(left: DataFrame, right: DataFrame, ratio: float) -> DataFrame:
-    """(a, b, sim) of strings of two tables whose cosine is at least the ratio; equal non-empty strings have 1."""
+def similar_to(left: DataFrame, right: DataFrame, ratio: float, table: DataFrame | None = None) -> DataFrame:
+    """(a, b, sim) of strings of two tables whose cosine is at least the ratio; equal non-empty strings have 1.
+
+    The weights are those of both tables' strings, or of a corpus's ``table`` from ``idf``.
+    """
     corpus = left.select("s").union(right.select("s")).distinct()
-    both = similarity_join(corpus, ratio, strict=False)
+    both = similarity_join(corpus, ratio, strict=False, table=table)
     same = left.select("s").intersect(right.select("s")).where("s <> ''").select(F.col("s").alias("a"), F.col("s").alias("b"), F.lit(1.0).alias("similarity"))
     return both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity")).unionByName(same)
 
