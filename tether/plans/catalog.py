@@ -232,7 +232,7 @@ def consolidate_identical(spark, d):
 
 
 def _identical() -> Query:
-    q = Query().clustered().add("i", "select *, cast(rec_id % 23 as bigint) as k from c where rec_id % 41 = 1")
+    q = Query().clustered().add("i", "select *, cast(rec_id % 23 as bigint) as k from c")
     q.add("ik", "select distinct normalized_text, addr_normalized_key, k from i")
     q.components("g", "select x.k as a, y.k as b from ik x join ik y on x.normalized_text = y.normalized_text and x.addr_normalized_key = y.addr_normalized_key where x.k <> y.k")
     q.add("is_", "select k, count(*) as size, round(avg(cluster_probability), 9) as p from i group by all")
