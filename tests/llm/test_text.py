@@ -83,20 +83,64 @@ def test_pack_fills_gapless_and_tightly(spark):
     assert packing.pack(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def test_match_is_best_fit_decreasing():
+def test_rounds_are_as_tight_as_best_fit_decreasing(spark):
     rng = random.Random(2)
-    for _ in range(20):
-        lengths = [rng.randrange(1, 101) for _ in range(rng.randrange(1, 200))]
-        gaps = []
-        for n in sorted(lengths, reverse=True):
-            fits = [g for g in gaps if g >= n]
-            if fits:
-                gaps.remove(min(fits))
-                gaps.append(min(fits) - n)
-            else:
-                gaps.append(100 - n)
-        counts = {n: lengths.count(n) for n in set(lengths)}
-        assert packing.match(counts, 100).sequences <= len(gaps) + 1
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for _ in range(5):
+            lengths = [rng.randrange(1, 101) for _ in range(rng.randrange(1, 200))]
+            gaps = []
+            for n in sorted(lengths, reverse=True):
+                fits = [g for g in gaps if g >= n]
+                if fits:
+                    gaps.remove(min(fits))
+                    gaps.append(min(fits) - n)
+                else:
+                    gaps.append(100 - n)
+            df = spark.createDataFrame([(None, 0, n) for n in lengths], "doc_id long, piece int, length long")
+            places = {}
+            for r in packing.place(df, 100).collect():
+                places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+            assert sorted(n for own in places.values() for _, n in own) == sorted(lengths)
+            for own in places.values():
+                own.sort()
+                assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 100
+            assert len(places) <= len(gaps) + 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_ranges_exchange_what_one_sweep_would_match():
+    rng = random.Random(4)
+    for _ in range(300):
+        events = sorted(((rng.randrange(1, 30), rng.randrange(2)) for _ in range(rng.randrange(40))), key=lambda e: (-e[0], e[1]))
+        cuts = sorted(rng.randrange(len(events) + 1) for _ in range(4))
+        stack, want = [], set()
+        for k, (_, kind) in enumerate(events):
+            if kind == 0:
+                stack.append(k)
+            elif stack:
+                want.add((stack.pop(), k))
+        got, left, numbers = set(), {}, []
+        for part, (lo, hi) in enumerate(zip([0, *cuts], [*cuts, len(events)])):
+            slots, pieces = [], []
+            for k in range(lo, hi):
+                if events[k][1] == 0:
+                    slots.append(k)
+                elif slots:
+                    got.add((slots.pop(), k))
+                else:
+                    pieces.append(k)
+            left[part] = slots, pieces
+            numbers.append((part, len(pieces), len(slots)))
+        plan = packing.exchange(numbers)
+        for part, (_, pieces) in left.items():
+            own = [i for i in range(len(plan.part)) if plan.part[i] == part]
+            for at in range(plan.met[part]):
+                i = max(i for i in own if plan.first[i] <= at)
+                got.add((left[plan.source[i]][0][plan.top[i] - (at - plan.first[i])], pieces[at]))
+        assert got == want
+        assert all(plan.low[part] == sum(k not in {a for a, _ in want} for k in slots) for part, (slots, _) in left.items())
 
 
 SCRAPS = ["a", "the", " ", "  ", "\n", "'s", "'re", "é", "12", "!", "?? ", SPECIAL, "日本", "　", "😀", "'", " x", "\r\n", "…"]
