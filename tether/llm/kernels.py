@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes that are worked on at once; a longer text is a piece of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 _P = 0x9E3779B97F4A7C55
 _PINV = pow(_P, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}

@@ -189,7 +189,7 @@ def identify(docs: DataFrame, trees: list[ContextTrees]) -> DataFrame:
             pred = np.full(len(text), "und", object)
             post = np.zeros(len(text))
             if trees:
-                for i, j, b, o in chunks(*texts_of(text), limit=1 << 20):
+                for i, j, b, o in chunks(*texts_of(text), limit=1 << 18):
                     bits = made[0].bits(b, o)
                     best = bits.argmin(axis=1)
                     gap = np.minimum(bits - bits.min(axis=1, keepdims=True), 1000)

@@ -33,7 +33,7 @@ RANGE = 20_000
 #: Bytes of segments that a task holds before it sends a run.
 RUN_BYTES = 4 << 20
 #: Bytes of a text that are searched for anchors at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Occurrences of a gram beyond which its windows are dealt out and merged one by one, as suffixes of their own from the
 #: window's start, so that no range gets more segments of one gram than this. The result does not depend on it.
 CROWD = 100_000
