@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,8 +12,24 @@ from tether.runtime.scratch import Scratch
 
 #: No SQL can express context trees, suffix merges and best-fit packing.
 ORACLE_SQL = None
+#: Documents that a task hands to Python at once. The stages share executors, so what one holds is short for the next.
+ROWS_AT_ONCE = 1_000
+
+
+def few_at_once(stage):
+    """The stage, in a session that sends at most ``ROWS_AT_ONCE`` rows in an Arrow batch; a smaller setting stays."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        now = int(spark.conf.get(name))
+        spark.conf.set(name, min(now, ROWS_AT_ONCE) if now > 0 else ROWS_AT_ONCE)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
+@few_at_once
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter have no language and go."""
     trees = language.learn(docs.select("doc_id", "lang", "text"))
@@ -19,6 +37,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return told.where("lang_pred <> 'und'").select(*docs.columns)
 
 
+@few_at_once
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near copies stays."""
     found = minhash.near_duplicates(docs.select("doc_id", "text"))
@@ -26,11 +45,13 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
 
 
+@few_at_once
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of passages that an earlier document or place has go; documents of which nothing is left go too."""
     return suffixes.kept_texts(docs, suffixes.find_repeats(docs.select("doc_id", "text")))
 
 
+@few_at_once
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mixture takes it.
 
@@ -44,6 +65,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return both.where(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
 
 
+@few_at_once
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the taken documents with their sequence and offset."""
     return packing.pack(docs.select("doc_id", "text"))
