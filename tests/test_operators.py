@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tether.operators import clustering, neighbors, reduction
 from tether.operators.graph import connected_components
-from tether.operators.ngram import pair_similarity, similarity_join
+from tether.operators.ngram import both_alike, pair_similarity, similarity_join
 from tether.plans import score, stages
 
 
@@ -18,6 +18,20 @@ def test_similarity_needs_grams_of_two_strings(spark):
     assert round(pair_similarity(df.where("a <> b"), min_df=1).first()["similarity"], 6) > 0.5
 
 
+def test_both_alike_agrees_with_all_pairs(spark):
+    # a name at many addresses, an address alike to many, and names and keys without a partner
+    rows = [(i, "hub", f"k{i}") for i in range(30)] + [(100 + i, f"n{i}", "k0") for i in range(5)] + [(200, "lone", "k1"), (201, "n0", "none")]
+    alike = {("hub", "hub"), ("hub", "n0"), ("n0", "hub"), ("n0", "n0"), ("n1", "n2"), ("n3", "n3"), ("gone", "hub")}
+    near = {(f"k{i}", f"k{j}") for i in range(30) for j in range(30) if abs(i - j) < 2 or (i == 0 and j % 2 == 0)}
+    left = spark.createDataFrame(rows, "src long, a string, c string")
+    right = spark.createDataFrame(rows, "dst long, b string, d string")
+    got = both_alike(left, right, spark.createDataFrame(sorted(alike), "a string, b string"), spark.createDataFrame(sorted(near), "c string, d string"))
+    want = sorted((i, j) for i, a, c in rows for j, b, d in rows if (a, b) in alike and (c, d) in near)
+    assert sorted((r["src"], r["dst"]) for r in got.collect()) == want
+    empty = both_alike(left.limit(0), right, spark.createDataFrame(sorted(alike), "a string, b string"), spark.createDataFrame(sorted(near), "c string, d string"))
+    assert empty.count() == 0
+
+
 def test_similarity_join_agrees_with_all_pairs(spark):
     words = ["main street", "main streets", "maine street", "oak avenue", "oak avenues", "elm road", "main street 5", "oak ave", ""]
     s = spark.createDataFrame([(w,) for w in words], "s string")

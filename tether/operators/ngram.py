@@ -84,3 +84,18 @@ def similarity_join(strings: DataFrame, threshold: float, min_df: int = 2, stric
     wb = p.select(F.col("s").alias("b"), "gram", F.col("w").alias("wb"))
     dots = candidates.join(wa, "a").join(wb, ["b", "gram"]).groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("similarity"))
     return dots.where((F.col("similarity") > threshold) if strict else (F.col("similarity") >= threshold))
+
+
+def both_alike(left: DataFrame, right: DataFrame, names: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of ``left(a, c, ...)`` and ``right(b, d, ...)`` whose ``a, b`` are in ``names`` and whose ``c, d`` are in ``keys``.
+
+    Neither list is joined in full first: each row of ``left`` with an alike name ``b`` looks either at the rows of
+    ``right`` of that name or at the keys alike to its own, whichever are fewer. A name at many addresses thus
+    does not make a pair of each two of them.
+    """
+    held = right.groupBy("b").agg(F.count("*").alias("_held"))
+    near = keys.groupBy("c").agg(F.count("*").alias("_near"))
+    half = left.join(names, "a").join(held, "b").join(near, "c")
+    by_name = half.where("_held <= _near").join(right, "b").join(keys, ["c", "d"])
+    by_key = half.where("_held > _near").join(keys, "c").join(right, ["b", "d"])
+    return by_name.unionByName(by_key).drop("_held", "_near")

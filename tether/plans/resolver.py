@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tether.config import Config
 from tether.operators import clustering, encode, neighbors
 from tether.operators.graph import connected_components
-from tether.operators.ngram import idf, similarity_join
+from tether.operators.ngram import both_alike, idf
 from tether.plans import score, stages
 from tether.runtime.scratch import Scratch
 
@@ -47,14 +47,10 @@ def block_clusters(df: DataFrame, cfg: Config) -> DataFrame:
     """
     v = cfg.validation
     kinds = df.groupBy("normalized_text", KEY).agg(F.min("rec_id").alias("node"), F.count("*").alias("n"))
-    def alike(c: str, ratio: float) -> DataFrame:
-        s = kinds.select(F.col(c).alias("s")).distinct()
-        p = similarity_join(s, ratio / 100.0).select("a", "b")
-        return p.unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(s.select(F.col("s").alias("a"), F.col("s").alias("b")))
-    names, keys = alike("normalized_text", v.name_fuzz_ratio), alike(KEY, v.address_fuzz_ratio)
     x = kinds.select(F.col("normalized_text").alias("a"), F.col(KEY).alias("c"), F.col("node").alias("src"))
     y = kinds.select(F.col("normalized_text").alias("b"), F.col(KEY).alias("d"), F.col("node").alias("dst"))
-    edges = x.join(names, "a").join(y, "b").join(keys.select(F.col("a").alias("c"), F.col("b").alias("d")), ["c", "d"]).where("src < dst").select("src", "dst")
+    keys = stages.alike(kinds, KEY, v.address_fuzz_ratio).withColumnsRenamed({"a": "c", "b": "d"})
+    edges = both_alike(x, y, stages.alike(kinds, "normalized_text", v.name_fuzz_ratio), keys).where("src < dst").select("src", "dst")
     groups = connected_components(edges)
     found = kinds.join(groups, F.col("node") == F.col("vertex"), "left").withColumn("g", F.coalesce("component_id", "node"))
     found = found.withColumn("all", F.sum("n").over(W.partitionBy("g"))).select("normalized_text", KEY, F.when(F.col("all") > 1, F.col("g")).otherwise(F.lit(-1)).cast("bigint").alias("cluster"))
@@ -164,9 +160,9 @@ class ResolverModel:
         v = cfg.validation
         names = stages.similar_to(rows.select(F.col("normalized_text").alias("s")), self.members.select(F.col("normalized_text").alias("s")), v.name_fuzz_ratio / 100.0, self.name_idf)
         keys = stages.similar_to(rows.select(F.col(KEY).alias("s")), self.members.select(F.col(KEY).alias("s")), v.address_fuzz_ratio / 100.0, self.key_idf)
-        m = self.members.select(F.col("normalized_text").alias("m_name"), F.col(KEY).alias("m_key"), F.col("addr_state").alias("m_state"), "final_cluster")
-        pairs = rows.select("rec_id", "normalized_text", KEY, "addr_state").join(names.select(F.col("a").alias("normalized_text"), F.col("b").alias("m_name"), F.col("similarity").alias("s1")), "normalized_text")
-        pairs = pairs.join(m, "m_name").join(keys.select(F.col("a").alias(KEY), F.col("b").alias("m_key"), F.col("similarity").alias("s2")), [KEY, "m_key"])
+        m = self.members.select(F.col("normalized_text").alias("b"), F.col(KEY).alias("d"), F.col("addr_state").alias("m_state"), "final_cluster")
+        left = rows.select("rec_id", F.col("normalized_text").alias("a"), F.col(KEY).alias("c"), "addr_state")
+        pairs = both_alike(left, m, names.withColumnRenamed("similarity", "s1"), keys.select(F.col("a").alias("c"), F.col("b").alias("d"), F.col("similarity").alias("s2")))
         if v.enforce_state_boundaries:
             pairs = pairs.where(stages.states_agree(F.col("addr_state"), F.col("m_state"), v.allow_neighboring_states))
         best = pairs.groupBy("rec_id").agg(F.min(F.struct((-(F.col("s1") + F.col("s2"))).alias("n"), "final_cluster")).alias("b")).select("rec_id", F.col("b.final_cluster").alias("final_cluster"))

@@ -14,7 +14,7 @@ from tether.config import Config
 from tether.functions.address import PARTS, address_key, completeness, parse_address, states_agree
 from tether.functions.text import normalize_name, size_factor, squeeze, text
 from tether.operators.graph import connected_components
-from tether.operators.ngram import pair_similarities, pair_similarity, postings, similarity_join
+from tether.operators.ngram import both_alike, pair_similarities, pair_similarity, postings, similarity_join
 from tether.runtime.scratch import Scratch
 
 CFG = Config()
@@ -132,11 +132,18 @@ def similar_to(left: DataFrame, right: DataFrame, ratio: float, table: DataFrame
     The weights are those of both tables' strings, or of a corpus's ``table`` from ``idf``.
     """
     corpus = left.select("s").union(right.select("s")).distinct()
-    both = similarity_join(corpus, ratio, strict=False, table=table)
+    both = Scratch(left.sparkSession).save(similarity_join(corpus, ratio, strict=False, table=table), "similar")
     same = left.select("s").intersect(right.select("s")).where("s <> ''").select(F.col("s").alias("a"), F.col("s").alias("b"), F.lit(1.0).alias("similarity"))
     return both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity")).unionByName(same)
 
 
+def alike(df: DataFrame, col: str, percent: float) -> DataFrame:
+    """``a, b`` of the values of a column whose cosine is above the percentage, both ways round, and of each with itself."""
+    s = df.select(F.col(col).alias("s")).distinct()
+    p = Scratch(df.sparkSession).save(similarity_join(s, percent / 100.0).select("a", "b"), "alike")
+    return p.unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(s.select(F.col("s").alias("a"), F.col("s").alias("b")))
+
+
 def best_clusters(rows: DataFrame, prof: DataFrame, cfg: Config = CFG) -> DataFrame:
     """``rec_id, best_cluster, best_score, best_prob`` of the best cluster that each row may join, if any.
 
@@ -146,8 +153,9 @@ def best_clusters(rows: DataFrame, prof: DataFrame, cfg: Config = CFG) -> DataFr
     v = cfg.validation
     names = similar_to(rows.select(F.col("normalized_text").alias("s")), prof.select(F.col("name").alias("s")), v.name_fuzz_ratio / 100.0)
     keys = similar_to(rows.select(F.col(KEY).alias("s")), prof.select(F.col("address").alias("s")), v.address_fuzz_ratio / 100.0)
-    pairs = rows.select("rec_id", "normalized_text", KEY, "addr_state").join(names.select(F.col("a").alias("normalized_text"), F.col("b").alias("name"), F.col("similarity").alias("name_sim")), "normalized_text")
-    pairs = pairs.join(prof, "name").join(keys.select(F.col("a").alias(KEY), F.col("b").alias("address"), F.col("similarity").alias("addr_sim")), [KEY, "address"])
+    left = rows.select("rec_id", F.col("normalized_text").alias("a"), F.col(KEY).alias("c"), "addr_state")
+    right = prof.withColumnsRenamed({"name": "b", "address": "d"})
+    pairs = both_alike(left, right, names.withColumnRenamed("similarity", "name_sim"), keys.select(F.col("a").alias("c"), F.col("b").alias("d"), F.col("similarity").alias("addr_sim")))
     if v.enforce_state_boundaries:
         pairs = pairs.where(states_agree(F.col("addr_state"), F.col("state"), v.allow_neighboring_states))
     w = v.reassignment_scoring_weights
@@ -193,13 +201,10 @@ def merge_by_address(prof: DataFrame) -> DataFrame:
 def merge_by_similarity(prof: DataFrame, cfg: Config = CFG) -> DataFrame:
     """``loser, winner`` of clusters whose names and addresses are both alike, over whole components."""
     v = cfg.validation
-    n = similarity_join(prof.select(F.col("name").alias("s")), v.name_fuzz_ratio / 100.0)
-    a = similarity_join(prof.select(F.col("address").alias("s")), v.address_fuzz_ratio / 100.0)
-    # equal names or addresses are alike without a pair of their own; hubs keep each value's clusters a star
-    alike = lambda t, c: t.select("a", "b").unionByName(t.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(prof.select(F.col(c).alias("a"), F.col(c).alias("b")).distinct())
     x = prof.select(F.col("cluster").alias("src"), F.col("name").alias("a"), F.col("address").alias("c"))
     y = prof.select(F.col("cluster").alias("dst"), F.col("name").alias("b"), F.col("address").alias("d"))
-    pairs = x.join(alike(n, "name"), "a").join(y, "b").join(alike(a, "address").select(F.col("a").alias("c"), F.col("b").alias("d")), ["c", "d"])
+    keys = alike(prof, "address", v.address_fuzz_ratio).withColumnsRenamed({"a": "c", "b": "d"})
+    pairs = both_alike(x, y, alike(prof, "name", v.name_fuzz_ratio), keys)
     groups = connected_components(pairs.where("src < dst").select("src", "dst"))
     return _largest(groups, prof)
 
