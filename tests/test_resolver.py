@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 from tether import Config, Resolver, ResolverModel
 from tether.streaming.resolve import resolve_stream
 
@@ -36,3 +38,24 @@ def test_fit_save_load_transform(spark, tmp_path):
     stream = spark.readStream.schema(SCHEMA).parquet(f"file://{inbox}")
     resolve_stream(again, stream, f"file://{out}", f"file://{tmp_path}/progress").awaitTermination(120)
     assert spark.read.parquet(f"file://{out}").count() == 2
+
+
+def test_vector_model_places_new_records_by_vectors(spark, tmp_path):
+    kinds = [("Crystal Clean", "123 Main St, Rockford IL"), ("Midwest Waste Services", "456 Oak Ave, Peoria IL"), ("Golden Harvest Bakery", "77 Elm Rd, Madison WI")]
+    rows = [(10 * k + i, name + end, address) for k, (name, address) in enumerate(kinds) for i, end in enumerate(("", " LLC", " Inc.", " Co"))]
+    base = Config()
+    cfg = replace(base, modeling=replace(base.modeling, tfidf_params={**base.modeling.tfidf_params, "min_df": 1}))
+    model = Resolver(cfg, method="vector").fit(spark.createDataFrame(rows, SCHEMA))
+    of = {r["rec_id"]: r["final_cluster"] for r in model.resolved.collect()}
+    assert all(of[10 * k] == of[10 * k + i] != -1 for k in range(3) for i in range(4)) and len({of[0], of[10], of[20]}) == 3
+    path = f"file://{tmp_path}/model"
+    model.save(path)
+    again = ResolverModel.load(spark, path)
+    # 0 is a known id too; 51 is near in its vector but in another state; 52 has nothing of the others
+    new = [(0, "MIDWEST WASTE SERVICES, LLC", "456 Oak Avenue, Peoria IL"), (51, "Crystal Clean", "123 Main St, Rockford WI"), (52, "Zebra Quilt", "9 Fig Ln, Ames IA")]
+    told = {r["rec_id"]: r for r in again.transform(spark.createDataFrame(new, SCHEMA)).collect()}
+    assert told[0]["final_cluster"] == of[10] and not told[0]["is_new_entity"] and told[0]["cluster_probability"] > 0
+    assert told[51]["is_new_entity"] and told[52]["is_new_entity"] and len(told) == 3
+    alone = again.transform(spark.createDataFrame(new[:1], SCHEMA)).collect()
+    assert alone == [told[0]]
+    assert again.transform(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -24,15 +24,25 @@ def scale(v: Column, factor: Column) -> Column:
     return F.transform(v, lambda x: x * factor)
 
 
-def balance_streams(df: DataFrame, proportions: dict[str, float], epsilon: float = 1e-8) -> DataFrame:
+def mean_energies(df: DataFrame, names: list[str]) -> dict[str, float]:
+    """The mean squared length of each vector column, 0 without rows."""
+    means = df.agg(*[F.coalesce(F.avg(energy(F.col(k))), F.lit(0.0)).alias(k) for k in names]).first()
+    return means.asDict()
+
+
+def balance_streams(df: DataFrame, proportions: dict[str, float], epsilon: float = 1e-8, energies: dict[str, float] | None = None) -> DataFrame:
     """Scales each stream (a vector column) by sqrt(proportion / (mean energy + epsilon)).
 
     The proportions of the streams present are scaled to sum to 1; a stream that is not named gets none of them.
+    The energies are those of ``df`` unless a corpus's are given, which make the result independent of the other rows.
     """
     present = {k: p for k, p in proportions.items() if k in df.columns}
     total = sum(present.values())
-    means = df.agg(*[F.avg(energy(F.col(k))).alias(f"_{k}") for k in present])
-    out = df.crossJoin(F.broadcast(means))  # one row
+    out = df
+    if energies is None:
+        means = df.agg(*[F.avg(energy(F.col(k))).alias(f"_{k}") for k in present])
+        out = df.crossJoin(F.broadcast(means))  # one row
     for k, p in present.items():
-        out = out.withColumn(k, scale(F.col(k), F.sqrt(F.lit(p / total) / (F.col(f"_{k}") + F.lit(epsilon)))))
+        mean = F.col(f"_{k}") if energies is None else F.lit(energies[k])
+        out = out.withColumn(k, scale(F.col(k), F.sqrt(F.lit(p / total) / (mean + F.lit(epsilon)))))
     return out.drop(*[f"_{k}" for k in present])

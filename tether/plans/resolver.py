@@ -108,8 +108,9 @@ class Resolver:
             log.warning("the setting %s has no effect", name)
         scratch = Scratch(spark)
         rows = scratch.save(stages.names_by_address(scratch.save(self._prepare(df), "prepared")), "named")
+        enc = known = None
         if self.method == "vector":
-            enc = encode.fit(rows, cfg)
+            enc = encode.fit(rows, cfg, semantic=self.semantic_col)
             vectors = scratch.save(encode.encode(rows, enc, cfg, semantic=self.semantic_col), "vectors")
             rows = vector_clusters(rows, vectors, cfg, scratch)
         else:
@@ -128,7 +129,10 @@ class Resolver:
         if cfg.output.split_address_components:
             resolved = score.split_canonical_address(resolved)
         weights = [scratch.save(idf(members.select(F.col(c).alias("s"))), "idf") for c in ("normalized_text", KEY)]
-        return ResolverModel(self, cmap, members, *weights, scratch.save(resolved, "resolved"))
+        if self.method == "vector":
+            placed = rows.where("final_cluster <> -1").select(F.col("rec_id").alias("id"), "final_cluster")
+            known = scratch.save(vectors.join(placed, "id"), "known")
+        return ResolverModel(self, cmap, members, *weights, scratch.save(resolved, "resolved"), enc, known)
 
     def fit_transform(self, df: DataFrame) -> DataFrame:
         return self.fit(df).resolved
@@ -147,16 +151,42 @@ class ResolverModel:
     name_idf: DataFrame
     key_idf: DataFrame
     resolved: DataFrame | None = None
+    encoders: encode.Encoders | None = None
+    vectors: DataFrame | None = None
 
     def transform(self, df: DataFrame) -> DataFrame:
         """New records with the cluster of the most similar known record, or as new entities.
 
-        A record joins the cluster of a member whose name and address are alike and whose state agrees; the most similar
-        one counts, then the smallest cluster. Similarities use the n-gram weights of the model's members, and addresses
-        are taken as parsed, so what a record gets does not depend on the others of its batch.
+        With ``method="block"`` a record joins the cluster of a member whose name and address are alike and whose state
+        agrees; the most similar one counts, then the smallest cluster. With ``method="vector"`` it joins the cluster of
+        the nearest known vector (then of the smallest id) if their cosine reaches ``attachment_similarity_threshold``,
+        and leaves it again where address or state is at odds with the cluster's. Similarities use the weights and
+        scales kept in the model, and addresses are taken as parsed, so what a record gets does not depend on the
+        others of its batch.
         """
         cfg = self.resolver.config
         rows = self.resolver._prepare(df, consolidated=False)
+        best = self._nearest(rows) if self.resolver.method == "vector" else self._most_alike(rows)
+        out = rows.join(best, "rec_id", "left").withColumn("final_cluster", F.coalesce("final_cluster", F.lit(-1)))
+        prob = self.canonical_map.select("final_cluster", F.col("avg_cluster_prob").alias("cluster_probability"))
+        out = out.join(prob, "final_cluster", "left").withColumn("cluster_probability", F.coalesce("cluster_probability", F.lit(0.0)))
+        if self.resolver.method == "vector":
+            prof = self.canonical_map.select(F.col("final_cluster").alias("cluster"), F.col(KEY).alias("address"), F.col("addr_state").alias("state"))
+            out = stages.evict(out, prof, "final_cluster", cfg, self.key_idf)
+        return score.apply_map(out, self.canonical_map, cfg).withColumn("is_new_entity", F.col("final_cluster") == -1)
+
+    def _nearest(self, rows: DataFrame) -> DataFrame:
+        """``rec_id, final_cluster`` by vectors; records near no known one are left out."""
+        cfg = self.resolver.config
+        asked = Scratch(rows.sparkSession).save(encode.encode(rows, self.encoders, cfg, semantic=self.resolver.semantic_col), "asked")
+        # a new record's id may be a known one's too; they are different rows
+        near = neighbors.nearest(self.vectors.select("id", "vec"), 1, asked, with_self=True)
+        near = near.where(F.col("similarity") >= cfg.modeling.noise_attachment_params["attachment_similarity_threshold"])
+        return near.join(self.vectors.select(F.col("id").alias("dst"), "final_cluster"), "dst").select(F.col("src").alias("rec_id"), "final_cluster")
+
+    def _most_alike(self, rows: DataFrame) -> DataFrame:
+        """``rec_id, final_cluster`` by names and addresses; records like no member are left out."""
+        cfg = self.resolver.config
         v = cfg.validation
         names = stages.similar_to(rows.select(F.col("normalized_text").alias("s")), self.members.select(F.col("normalized_text").alias("s")), v.name_fuzz_ratio / 100.0, self.name_idf)
         keys = stages.similar_to(rows.select(F.col(KEY).alias("s")), self.members.select(F.col(KEY).alias("s")), v.address_fuzz_ratio / 100.0, self.key_idf)
@@ -165,11 +195,7 @@ class ResolverModel:
         pairs = both_alike(left, m, names.withColumnRenamed("similarity", "s1"), keys.select(F.col("a").alias("c"), F.col("b").alias("d"), F.col("similarity").alias("s2")))
         if v.enforce_state_boundaries:
             pairs = pairs.where(stages.states_agree(F.col("addr_state"), F.col("m_state"), v.allow_neighboring_states))
-        best = pairs.groupBy("rec_id").agg(F.min(F.struct((-(F.col("s1") + F.col("s2"))).alias("n"), "final_cluster")).alias("b")).select("rec_id", F.col("b.final_cluster").alias("final_cluster"))
-        out = rows.join(best, "rec_id", "left").withColumn("final_cluster", F.coalesce("final_cluster", F.lit(-1)))
-        prob = self.canonical_map.select("final_cluster", F.col("avg_cluster_prob").alias("cluster_probability"))
-        out = out.join(prob, "final_cluster", "left").withColumn("cluster_probability", F.coalesce("cluster_probability", F.lit(0.0)))
-        return score.apply_map(out, self.canonical_map, cfg).withColumn("is_new_entity", F.col("final_cluster") == -1)
+        return pairs.groupBy("rec_id").agg(F.min(F.struct((-(F.col("s1") + F.col("s2"))).alias("n"), "final_cluster")).alias("b")).select("rec_id", F.col("b.final_cluster").alias("final_cluster"))
 
     def review(self) -> DataFrame:
         if self.resolved is None:
@@ -189,9 +215,15 @@ class ResolverModel:
         self.canonical_map.write.mode("overwrite").parquet(f"{path}/canonical_map")
         for name in ("members", "name_idf", "key_idf"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        if self.encoders is not None:
+            self.encoders.save(f"{path}/encoders")
+            self.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> ResolverModel:
         r = spark.read.schema("config string, method string, parsed boolean, semantic_col string").json(f"{path}/settings").first()
         resolver = Resolver(Config.from_json(r["config"]), r["method"], r["parsed"], r["semantic_col"])
-        return cls(resolver, *(spark.read.parquet(f"{path}/{name}") for name in ("canonical_map", "members", "name_idf", "key_idf")))
+        tables = [spark.read.parquet(f"{path}/{name}") for name in ("canonical_map", "members", "name_idf", "key_idf")]
+        if resolver.method != "vector":
+            return cls(resolver, *tables)
+        return cls(resolver, *tables, None, encode.Encoders.load(spark, f"{path}/encoders"), spark.read.parquet(f"{path}/vectors"))

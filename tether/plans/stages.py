@@ -178,11 +178,14 @@ def reassign(df: DataFrame, cfg: Config = CFG) -> DataFrame:
     return out.drop("name_sim", "addr_sim", "is_valid", "best_cluster", "best_score", "best_prob")
 
 
-def evict(df: DataFrame, prof: DataFrame, col: str = "cluster", cfg: Config = CFG) -> DataFrame:
-    """Rows whose state or address is at odds with their cluster's become noise with probability 0."""
+def evict(df: DataFrame, prof: DataFrame, col: str = "cluster", cfg: Config = CFG, table: DataFrame | None = None) -> DataFrame:
+    """Rows whose state or address is at odds with their cluster's become noise with probability 0.
+
+    Addresses are compared with the weights of those given, or of a corpus's ``table`` from ``idf``.
+    """
     v = cfg.validation
     p = prof.select(F.col("cluster").alias(col), F.col("address").alias("p_address"), F.col("state").alias("p_state"))
-    rows = pair_similarity(df.join(p, col, "left"), KEY, "p_address", out="_sim", exact_is_one=True)
+    rows = pair_similarity(df.join(p, col, "left"), KEY, "p_address", out="_sim", exact_is_one=True, table=table)
     out = F.coalesce((F.round("_sim", 6) < v.address_fuzz_ratio / 100.0) & F.col("p_address").isNotNull() & F.col(KEY).isNotNull(), F.lit(False))
     if v.enforce_state_boundaries:
         out = out | ~states_agree(F.col("addr_state"), F.col("p_state"), v.allow_neighboring_states)
