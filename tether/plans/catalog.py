@@ -16,7 +16,7 @@ from tether.operators import clustering, neighbors, reduction
 from tether.operators.graph import connected_components
 from tether.operators.ngram import idf, pair_similarity, similarity_join
 from tether.plans import score, stages
-from tether.plans.oracle import ADDR, NAME, PARTS_SQL, POINTS, Query, parsed
+from tether.plans.oracle import ADDR, NAME, PARTS_SQL, POINTS, SPLIT, Query, parsed
 from tether.runtime.scratch import Scratch
 from tether.sources.tables import entities, table
 
@@ -49,9 +49,9 @@ def records(spark: SparkSession, d: str) -> DataFrame:
     return stages.add_address_key(stages.normalize(entities(spark, d)))
 
 
-def clustered(spark: SparkSession, d: str) -> DataFrame:
+def clustered(spark: SparkSession, d: str, clusters: int = 200) -> DataFrame:
     """Records with clusters by part, every nineteenth being noise, and made-up probabilities."""
-    cluster = F.when(F.col("rec_id") % 19 == 0, -1).otherwise(F.col("rec_id") % 200).cast("bigint")
+    cluster = F.when(F.col("rec_id") % 19 == 0, -1).otherwise(F.col("rec_id") % clusters).cast("bigint")
     return records(spark, d).withColumn("cluster", cluster).withColumn("cluster_probability", F.round(F.lit(0.5) + (F.col("rec_id") % 50) / 100.0, 2))
 
 
@@ -215,12 +215,12 @@ def evict_members(spark, d):
 
 @query(lambda: Query().exact().select("select loser, winner from x"))
 def merge_exact_address(spark, d):
-    return stages.merge_by_address(stages.profiles(prepared(clustered(spark, d))))
+    return stages.merge_by_address(prepared(stages.profiles(prepared(clustered(spark, d, SPLIT)))))
 
 
 @query(lambda: Query().fuzzy().select("select loser, winner from fw"))
 def merge_fuzzy(spark, d):
-    return stages.merge_by_similarity(prepared(stages.profiles(prepared(clustered(spark, d)))))
+    return stages.merge_by_similarity(prepared(stages.profiles(prepared(clustered(spark, d, SPLIT)))))
 
 
 @query(
@@ -359,9 +359,9 @@ def report_summary(spark, d):
     return score.report(flagged(spark, d))
 
 
-@query(lambda: Query().clustered().select("select normalized_text, addr_normalized_key, count(distinct cluster) as clusters from c where cluster <> -1 group by all having count(distinct cluster) > 1"))
+@query(lambda: Query().clustered(SPLIT).select("select normalized_text, addr_normalized_key, count(distinct cluster) as clusters from c where cluster <> -1 group by all having count(distinct cluster) > 1"))
 def identity_violations(spark, d):
-    return score.identity_violations(clustered(spark, d))
+    return score.identity_violations(clustered(spark, d, SPLIT))
 
 
 @query(lambda: Query().applied().select("select canonical_name, count(distinct canonical_address) + max(case when canonical_address is null then 1 else 0 end) as addresses from ap group by all having addresses > 1"))

@@ -42,6 +42,10 @@ POINTS = "(case when addr_street_name <> '' then 2 else 0 end + case when addr_s
 SIZE_FACTOR = "least(ln(1 + size) / ln(11), 1.0)"
 
 
+#: With this many clusters each part's records lie in three, which gives merges and violations to find.
+SPLIT = 600
+
+
 class Query:
     """A chain of common table expressions."""
 
@@ -64,9 +68,9 @@ class Query:
         self.add("e", ENTITY_SQL.format(customer="customer", part="part", nation="nation"))
         return self.add("n", f"select *, {normal('company_name')} as normalized_text, {ADDRESS_KEY} as addr_normalized_key from e")
 
-    def clustered(self) -> Query:
+    def clustered(self, clusters: int = 200) -> Query:
         self.records()
-        return self.add("c", "select *, cast(case when rec_id % 19 = 0 then -1 else rec_id % 200 end as bigint) as cluster, round(0.5 + (rec_id % 50) / 100.0, 2)::double as cluster_probability from n")
+        return self.add("c", f"select *, cast(case when rec_id % 19 = 0 then -1 else rec_id % {clusters} end as bigint) as cluster, round(0.5 + (rec_id % 50) / 100.0, 2)::double as cluster_probability from n")
 
     def weights(self, p: str, strings: str, min_df: int = 2, sublinear: bool = True, by: str = "") -> Query:
         """{p}w(by, s, g, df, w) of the distinct strings of ``strings``, which selects (by, s)."""
@@ -146,11 +150,11 @@ class Query:
         return self.add("best", "select rec_id, cluster as best_cluster, score as best_score, avg_probability as best_prob from bp qualify row_number() over (partition by rec_id order by score desc, cluster) = 1")
 
     def exact(self) -> Query:
-        self.clustered().profiles("p", "c")
+        self.clustered(SPLIT).profiles("p", "c")
         return self.add("x", "select cluster as loser, first_value(cluster) over (partition by address order by size desc, cluster) as winner from p qualify loser <> winner")
 
     def fuzzy(self) -> Query:
-        self.clustered().profiles("p", "c")
+        self.clustered(SPLIT).profiles("p", "c")
         self.pairs("fn", "select name as s from p", NAME).pairs("fa", "select address as s from p", ADDR)
         self.add("fe", "select x.cluster as a, y.cluster as b from p x join p y on x.cluster < y.cluster where (x.name = y.name or exists (select 1 from fnp q where q.a = least(x.name, y.name) and q.b = greatest(x.name, y.name))) and (x.address = y.address or exists (select 1 from fap q where q.a = least(x.address, y.address) and q.b = greatest(x.address, y.address)))")
         self.components("fc", "select a, b from fe")
