@@ -1,5 +1,7 @@
 """Operators and queries do their whole job: no row, edge or pair is left out."""
 
+import time
+
 import numpy as np
 
 from tether.operators import clustering, neighbors, reduction
@@ -67,6 +69,25 @@ def test_merge_candidates_are_every_close_pair(spark, monkeypatch):
     assert got == set(zip(a.tolist(), b.tolist())) and max(np.bincount(a)) > 64
 
 
+def test_merge_candidates_count_all_pairs_of_large_clusters(spark, monkeypatch):
+    """Exact over millions of pairs, of odd and even numbers, without a row for each; copies and opposites among them."""
+    rng = np.random.default_rng(11)
+    label = np.repeat([3, 5, 8, 9], [2001, 1500, 2001, 3])
+    x = np.eye(16)[0] * 0.5 + rng.normal(scale=0.3, size=(len(label), 16))
+    x[:400], x[2200:2300], x[4000] = x[0], -x[2200:2300], x[0]
+    df = spark.createDataFrame([(i, int(c), v.tolist()) for i, (c, v) in enumerate(zip(label, x))], "id long, label long, vec array<double>").cache()
+    monkeypatch.setattr(neighbors, "BLOCK", 700)
+    began = time.monotonic()
+    got = {(r["a"], r["b"]): (r["median_sim"], r["max_sim"]) for r in neighbors.merge_candidates(df.select("id", "vec"), df.select("id", "label"), 0.0, -1.0, -1.0, 10_000).collect()}
+    # a row for each of the ten million pairs takes minutes
+    assert time.monotonic() - began < 60
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    u = x / np.where(n > 0, n, 1)
+    s = {(a, b): np.round(u[label == a] @ u[label == b].T, 6) for a in (3, 5, 8, 9) for b in (3, 5, 8, 9) if a < b}
+    assert set(got) == set(s) and all(np.allclose(got[k], (np.median(v), v.max()), rtol=0, atol=6e-7) for k, v in s.items())
+    assert all(got[k][1] == v.max() for k, v in s.items())
+
+
 def test_louvain_goes_on_until_no_communities_gain(spark):
     n, resolution = 400, 0.1
     path = [(i, i + 1, 1.0) for i in range(n - 1)]

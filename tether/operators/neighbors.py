@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tether.runtime.scratch import Scratch
+
 #: Vectors of a block; a task holds two blocks.
-BLOCK = 2048
+BLOCK = 8192
+#: Similarities are counted in millionths: one by one for up to FEW pairs, else in steps of 2 ** STEP first.
+UNIT, FEW, STEP = 1_000_000, 4096, 10
 
 
 def nearest(vectors: DataFrame, k: int, queries: DataFrame | None = None, with_self: bool = False) -> DataFrame:
@@ -130,22 +134,110 @@ def centroids(vectors: DataFrame, labels: DataFrame, sample: int | None = None)
     return whole.select("label", F.transform(v, lambda x: x / norm).alias("centroid"), "size")
 
 
-def merge_candidates(vectors: DataFrame, labels: DataFrame, centroid_threshold: float = 0.75, median: float = 0.84, top: float = 0.90, members: int = 20) -> DataFrame:
-    """``a, b, median_sim, max_sim`` of clusters that are near: by centroid first, then by pairs of sampled members."""
+def merge_candidates(
+    vectors: DataFrame, labels: DataFrame, centroid_threshold: float = 0.75, median: float = 0.84, top: float = 0.90, members: int = 20, scratch: Scratch | None = None
+) -> DataFrame:
+    """``a, b, median_sim, max_sim`` of clusters that are near: by centroid first, then by pairs of sampled members.
+
+    The similarity of every pair of members counts, rounded to millionths. Pairs are multiplied tile by tile and only
+    counted: where there are many, in steps of 2 ** STEP millionths first, then one by one in the step that holds the
+    middle, so the median is exact and no pair of members becomes a row.
+    """
+    scratch = scratch or Scratch(vectors.sparkSession)
     cent = centroids(vectors, labels)
     close = pairs_above(cent.select(F.col("label").cast("bigint").alias("id"), F.col("centroid").alias("vec")), centroid_threshold)
-    close = close.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    rows = vectors.join(labels.where("label <> -1"), "id").withColumn("_k", F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64("id"), "id"))).where(F.col("_k") <= members)
-    norm = lambda v: F.transform(v, lambda x: x / F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y * y)))
-    rows = rows.select(F.col("label").cast("bigint").alias("label"), norm(F.col("vec").cast("array<double>")).alias("v"))
-    x = rows.select(F.col("label").alias("a"), F.col("v").alias("va"))
-    y = rows.select(F.col("label").alias("b"), F.col("v").alias("vb"))
-    sim = F.round(F.aggregate(F.zip_with("va", "vb", lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z), 6)
-    pairs = close.join(x, "a").join(y, "b").select("a", "b", sim.alias("s"))
-    out = pairs.groupBy("a", "b").agg(F.round(F.median("s"), 6).alias("median_sim"), F.max("s").alias("max_sim"))
+    whole = F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull())
+    order = W.partitionBy("label").orderBy(F.xxhash64("id"), "id")
+    rows = vectors.join(labels.where("label <> -1"), "id").withColumn("_k", F.row_number().over(order)).where((F.col("_k") <= members) & whole)
+    rows = scratch.save(rows.select(F.col("label").cast("bigint").alias("label"), "id", F.col("vec").cast("array<double>").alias("vec")), "members")
+    size = rows.groupBy("label").agg(F.count("*").alias("n"))
+    rows = rows.join(size, "label").select("label", F.pmod(F.xxhash64("id"), _blocks(F.col("n"))).cast("int").alias("block"), "vec")
+    pairs = close.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    pairs = pairs.join(size.select(F.col("label").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("label").alias("b"), F.col("n").alias("nb")), "b")
+    step = F.when(F.col("na") * F.col("nb") <= FEW, 0).otherwise(STEP)
+    first = scratch.save(pairs.select("*", F.lit(-UNIT).alias("lo"), F.lit(UNIT).alias("hi"), step.alias("step"), F.lit(0).cast("bigint").alias("under")), "pairs")
+    seen = scratch.save(_middles(rows, first), "middles").where(F.col("peak") / F.lit(float(UNIT)) >= top)
+    last = F.shiftleft(F.lit(1), STEP) - 1
+    rough = seen.where((F.col("step") > 0) & ((F.col("y") + last) / F.lit(float(UNIT)) >= median))
+    narrow = rough.select("a", "b", "na", "nb", F.col("x").cast("int").alias("lo"), (F.col("y") + last).cast("int").alias("hi"), F.lit(0).alias("step"), "under")
+    fine = _middles(rows, scratch.save(narrow, "pairs")).drop("peak").join(seen.select("a", "b", "peak"), ["a", "b"])
+    both = seen.where("step = 0").select("a", "b", "x", "y", "peak").unionByName(fine.select("a", "b", "x", "y", "peak"))
+    value = lambda c: F.col(c) / F.lit(float(UNIT))
+    out = both.select("a", "b", F.round(0.5 * value("x") + 0.5 * value("y"), 6).alias("median_sim"), value("peak").alias("max_sim"))
     return out.where((F.col("median_sim") >= median) & (F.col("max_sim") >= top))
 
 
+def _blocks(n: Column) -> Column:
+    return F.ceil(n / BLOCK).cast("int")
+
+
+def _middles(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``x, y, peak, under`` beside ``a, b, na, nb, step``: the steps of the two middle products, the largest product in the range, those below x.
+
+    Rows are ``(label, block, vec)``. Products of the members of a and b are counted in millionths from ``lo`` to ``hi`` by
+    steps of ``2 ** step``; ``under`` of them are known to be below ``lo``.
+    """
+    count = lambda c: _blocks(F.col(c))
+    every = lambda c: F.explode(F.sequence(F.lit(0), count(c) - 1))
+    tiles = pairs.withColumn("i", every("na")).withColumn("j", every("nb"))
+    # small pairs share a task's call
+    load = tiles.agg(F.count("*"), F.sum(F.col("na") / count("na") + F.col("nb") / count("nb"))).first()
+    calls = max(1, min(load[0], round((load[1] or 0) / BLOCK)))
+    tiles = tiles.select("a", "b", "i", "j", "na", "nb", "lo", "hi", "step", F.pmod(F.xxhash64("a", "b", "i", "j"), F.lit(calls)).cast("int").alias("t"))
+
+    def side(k: int, label: str, block: str) -> DataFrame:
+        own = tiles.withColumn("label", F.col(label)).withColumn("block", F.col(block)).join(rows, ["label", "block"])
+        return own.select("t", "a", "b", "i", "j", F.lit(k).alias("side"), "lo", "hi", "step", "vec")
+
+    def tally(t: pa.Table) -> pa.Table:
+        x = np.array(t["vec"].combine_chunks().flatten()).reshape(len(t), -1)
+        norm = np.linalg.norm(x, axis=1)
+        x = x / np.where(norm > 0, norm, 1)[:, None]
+        key = np.stack([t[c].to_numpy() for c in ("a", "b", "i", "j", "side")])
+        lo, hi, step = (t[c].to_numpy() for c in ("lo", "hi", "step"))
+        order = np.lexsort(key[::-1])
+        new = np.append(True, (np.diff(key[:4, order], axis=1) != 0).any(axis=0))
+        out = {c: [np.zeros(0, np.int64)] for c in ("a", "b", "at", "n", "peak")}
+        for own in np.split(order, np.flatnonzero(new)[1:]):
+            left, right = own[key[4, own] == 0], own[key[4, own] == 1]
+            if not len(left) or not len(right):
+                continue
+            a, b = key[:2, own[0]]
+            low, high, bits = int(lo[own[0]]), int(hi[own[0]]), int(step[own[0]])
+            few = len(left) * len(right) <= FEW
+            n, peak, base = np.zeros(0 if few else (high - low >> bits) + 1, np.int64), -UNIT, np.ascontiguousarray(x[right].T)
+            # a part's products stay in the processor's cache
+            part = max(1, (1 << 17) // len(right))
+            for i in range(0, len(left), part):
+                s = x[left[i : i + part]] @ base
+                s *= UNIT
+                np.rint(s, out=s)
+                peak = max(peak, int(s.max()))
+                s = s.ravel() if low <= -UNIT and high >= UNIT else s[(s >= low) & (s <= high)]
+                k = s.astype(np.int64)
+                k -= low
+                k >>= bits
+                if not few:
+                    n += np.bincount(k, minlength=len(n))
+            # few products are one part
+            at, n = np.unique(k, return_counts=True) if few else (np.flatnonzero(n), n[n > 0])
+            if not len(at):
+                continue
+            for c, v in (("a", a), ("b", b), ("at", (at << bits) + low), ("n", n), ("peak", peak)):
+                out[c].append(np.broadcast_to(v, at.shape))
+        return pa.table({c: np.concatenate(v).astype(np.int64) for c, v in out.items()})
+
+    sent = side(0, "a", "i").unionByName(side(1, "b", "j")).repartition(min(calls, 2000), "t")
+    found = sent.groupBy("t").applyInArrow(tally, "a long, b long, at long, n long, peak long")
+    found = found.groupBy("a", "b", "at").agg(F.sum("n").alias("n"), F.max("peak").alias("peak")).join(pairs, ["a", "b"])
+    upto = found.withColumn("upto", F.col("under") + F.sum("n").over(W.partitionBy("a", "b").orderBy("at")))
+    products = F.col("na") * F.col("nb")
+    holds = lambda r: F.min(F.when(F.col("upto") > r, F.col("at")))
+    low, high = F.floor((products - 1) / 2), F.floor(products / 2)
+    below = F.max(F.when(F.col("upto") <= low, F.col("upto")).otherwise(F.col("under")))
+    return upto.groupBy("a", "b", "na", "nb", "step").agg(holds(low).alias("x"), holds(high).alias("y"), F.max("peak").alias("peak"), below.alias("under"))
+
+
 def ensemble_labels(rows: DataFrame, purity: float = 0.75, overlap: int = 2, mint: bool = True, least: int = 4, rescue: float = 0.60) -> DataFrame:
     """``id, cluster, cluster_probability, label_source`` from ``rows(id, hdb, snn, probability)``.
 
