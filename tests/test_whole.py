@@ -6,6 +6,7 @@ import numpy as np
 
 from tether.operators import clustering, neighbors, reduction
 from tether.plans import catalog
+from tether.runtime.scratch import Scratch
 
 
 def roots(edges, vertices):
@@ -104,6 +105,59 @@ def test_louvain_goes_on_until_no_communities_gain(spark):
     assert len(got) == n and all(w - resolution * mass[a] * mass[b] / (2 * len(path)) <= 1e-6 for (a, b), w in between.items())
 
 
+def test_louvain_takes_a_graph_that_fits_in_one_task(spark, monkeypatch):
+    """Few tables are written, however many moves it takes; in one task, or by sweeps first, nothing gains in the end."""
+    rng, resolution = np.random.default_rng(12), 0.65
+    at = [(int(a), int(b), float(w)) for g in range(4) for a, b, w in zip(rng.integers(0, 20, 90) + 20 * g, rng.integers(0, 20, 90) + 20 * g, rng.uniform(0.1, 1, 90).round(3))]
+    at += [(int(a), int(b), 0.2) for a, b in rng.integers(0, 80, (40, 2))] + [(200 + i, 201 + i, 1.0) for i in range(60)]
+    at += [at[0], (at[1][1], at[1][0], 0.5), (500, 500, 3.0)]
+    w = np.zeros((300, 300))
+    for a, b, x in at:
+        if a != b:
+            w[a, b] += x
+            w[b, a] += x
+    saved, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name="t": saved.append(name) or save(self, df, name))
+    edges, quality = spark.createDataFrame(at, "src long, dst long, weight double"), {}
+    for whole in (clustering.WHOLE, np.count_nonzero(w) - 1):
+        monkeypatch.setattr(clustering, "WHOLE", whole)
+        saved.clear()
+        got = {r["vertex"]: r["community"] for r in clustering.louvain(edges, resolution).collect()}
+        if not quality:
+            assert len(saved) <= 4
+        assert set(got) == set(np.flatnonzero(w.sum(axis=1)).tolist())
+        member = np.array([[got.get(v) == c for c in sorted(set(got.values()))] for v in range(300)], float)
+        between, mass = member.T @ w @ member, member.T @ w.sum(axis=1)
+        gain = between - resolution * np.outer(mass, mass) / w.sum()
+        assert (gain[~np.eye(len(mass), dtype=bool)] <= 1e-6).all()
+        assert all(c == min(v for v in got if got[v] == c) for c in set(got.values()))
+        assert all((got[v] >= 200) == (v >= 200) for v in got)
+        quality[whole] = np.trace(gain) / w.sum()
+    assert max(quality.values()) - min(quality.values()) < 0.05
+
+
+def test_nearest_over_blocks_and_copies(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "BLOCK", 900)
+    x = np.random.default_rng(13).normal(size=(2500, 6)).round(1)
+    x[100:1400:3], x[7] = x[0], 0
+    ids = np.random.default_rng(14).permutation(2500) * 3
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "id long, vec array<double>")
+    n = np.linalg.norm(x, axis=1)[:, None]
+    u = x / np.where(n > 0, n, 1)
+    s = np.round(u @ u.T, 6)
+    for itself, asked in ((False, None), (True, None), (False, df.where("id % 100 = 0"))):
+        want = {}
+        for i in range(len(x)) if asked is None else np.flatnonzero(ids % 100 == 0):
+            order = np.lexsort((ids, -s[i]))
+            want[ids[i]] = [(ids[j], s[i, j]) for j in (order if itself else order[order != i])[:5]]
+        got = {}
+        for r in neighbors.nearest(df, 5, asked, itself).orderBy("src", "rank").collect():
+            got.setdefault(r["src"], []).append((r["dst"], r["similarity"]))
+        # products are summed in another order, so one in the middle of two millionths may be rounded either way
+        assert set(got) == set(want) and all([d for d, _ in got[k]] == [d for d, _ in want[k]] or np.allclose([v for _, v in got[k]], [v for _, v in want[k]], rtol=0, atol=1.1e-6) for k in want)
+        assert sum([d for d, _ in got[k]] != [d for d, _ in want[k]] for k in want) < 5
+
+
 def test_hdbscan_joins_groups_beyond_the_neighbour_lists(spark, monkeypatch):
     monkeypatch.setattr(clustering, "TILE", 40)
     rng = np.random.default_rng(10)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,6 +14,8 @@ from tether.operators.graph import connected_components
 from tether.operators.neighbors import nearest
 from tether.runtime.scratch import Scratch
 
+#: Rows of a graph, two for an edge, that one task takes in; it then moves vertices one at a time.
+WHOLE = 2_000_000
 #: Vectors of a block of the spanning tree's tiles; a task holds two blocks.
 TILE = 8192
 
@@ -23,7 +27,8 @@ def louvain(edges: DataFrame, resolution: float = 0.65, sweeps: int = 1000, leve
     modularity; half of the vertices, by hash, move at a time, so that neighbours do not swap. Once that no longer leaves
     fewer vertices with a gain, each community takes part in its best move only; such moves do not touch one another,
     so modularity grows until no vertex has a gain. Communities are then contracted and the sweeps repeated until
-    nothing moves. Communities never cross components; their id is the smallest member's. More than ``sweeps`` in a
+    nothing moves. A graph of up to ``WHOLE`` rows, from the start or once contracted, goes through the same steps in one
+    task, vertex by vertex. Communities never cross components; their id is the smallest member's. More than ``sweeps`` in a
     level, or more than ``levels``, raise.
     """
     spark = edges.sparkSession
@@ -36,6 +41,10 @@ def louvain(edges: DataFrame, resolution: float = 0.65, sweeps: int = 1000, leve
     if not total:
         return member
     for _ in range(levels):
+        if sym.count() <= WHOLE:
+            found = scratch.save(communities(sym, resolution, total, sweeps, levels), "found")
+            member = member.join(found, member["community"] == found["src"]).select("vertex", F.col("c").alias("community"))
+            break
         degree = scratch.save(sym.groupBy("src").agg(F.sum("weight").alias("d")), "degree")
         label = scratch.save(degree.select("src", F.col("src").alias("c")), "label")
         moved, fewest, waits, single = False, None, 0, False
@@ -82,6 +91,74 @@ def louvain(edges: DataFrame, resolution: float = 0.65, sweeps: int = 1000, leve
     return member
 
 
+def communities(sym: DataFrame, resolution: float, total: float, sweeps: int, levels: int) -> DataFrame:
+    """``src, c`` of the vertices of ``sym(src, dst, weight)``, which has each edge both ways, by ``louvain``'s steps in one task.
+
+    Vertices move one at a time to the community with the largest gain, first all by id, then those with a neighbour that
+    left them, until a pass over all finds no gain.
+    """
+
+    def moved(at: np.ndarray, to: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+        d = np.bincount(at, w, n).tolist()
+        mass, c = list(d), list(range(n))
+        other = at != to
+        start = np.searchsorted(at[other], np.arange(n + 1)).tolist()
+        to, w = to[other], w[other]
+        least = 1e-9 * max(1.0, float(w.max())) if len(w) else 0.0
+        for _ in range(sweeps):
+            todo, waits, any_moved = deque(range(n)), bytearray(b"\1") * n, False
+            while todo:
+                v = todo.popleft()
+                waits[v] = 0
+                if start[v] == start[v + 1]:
+                    continue
+                mine, near, k = c[v], to[start[v] : start[v + 1]].tolist(), {}
+                for u, x in zip(near, w[start[v] : start[v + 1]].tolist()):
+                    k[c[u]] = k.get(c[u], 0.0) + x
+                f = resolution * d[v] / total
+                mass[mine] -= d[v]
+                best, most = mine, k.get(mine, 0.0) - f * mass[mine] + least
+                for y, x in k.items():
+                    gain = x - f * mass[y]
+                    if gain > most:
+                        best, most = y, gain
+                mass[best] += d[v]
+                if best != mine:
+                    c[v], any_moved = best, True
+                    for u in near:
+                        if c[u] != best and not waits[u]:
+                            waits[u] = 1
+                            todo.append(u)
+            if not any_moved:
+                return np.array(c)
+        raise RuntimeError(f"vertices still move after {sweeps} sweeps")
+
+    def whole(t: pa.Table) -> pa.Table:
+        ids, at = np.unique(t["src"].to_numpy(), return_inverse=True)
+        to, w = np.searchsorted(ids, t["dst"].to_numpy()), t["weight"].to_numpy()
+        own, n = np.arange(len(ids)), len(ids)
+        for _ in range(levels):
+            order = np.lexsort((to, at))
+            at, to, w = at[order], to[order], w[order]
+            c = moved(at, to, w, n)
+            # communities are numbered by their smallest member
+            _, first, c = np.unique(c, return_index=True, return_inverse=True)
+            place = np.empty(len(first), np.int64)
+            place[np.argsort(first)] = np.arange(len(first))
+            c = place[c]
+            own = c[own]
+            if len(first) == n:
+                break
+            n = len(first)
+            edge, into = np.unique(c[at] * n + c[to], return_inverse=True)
+            at, to, w = edge // n, edge % n, np.bincount(into, w)
+        else:
+            raise RuntimeError(f"communities still change after {levels} levels")
+        return pa.table({"src": ids, "c": ids[np.unique(own, return_index=True)[1]][own]})
+
+    return sym.groupBy(F.lit(0).alias("all")).applyInArrow(whole, "src long, c long")
+
+
 def shortest_out(points: DataFrame, alpha: float) -> DataFrame:
     """``x, src, dst, d`` (src < dst): the first edge, by (d, src, dst), from each component to another one, in each tile.
 

@@ -20,40 +20,70 @@ def nearest(vectors: DataFrame, k: int, queries: DataFrame | None = None, with_s
     """``src, dst, similarity, rank`` (from 0) of the k most similar vectors of each query by cosine.
 
     Rows are ``(id, vec)``; queries are all rows if not given. Similarities have six digits and ties go to the smaller
-    id. Query and base blocks are multiplied tile by tile and only a tile's k best of each query are passed on.
+    id. Query and base blocks are multiplied tile by tile and only a tile's k best of each query are passed on. Without
+    queries of their own, two blocks meet once, for both directions.
     """
     base = vectors.select("id", F.col("vec").cast("array<double>").alias("vec"))
-    asked = base if queries is None else queries.select("id", F.col("vec").cast("array<double>").alias("vec"))
     blocks = lambda df: max(1, -(-df.count() // BLOCK))
-    nq, nb = blocks(asked), blocks(base)
     spot = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.select(spot(nq).alias("q"), every(nb).alias("b"), F.lit(0).alias("side"), "id", "vec")
-    right = base.select(every(nq).alias("q"), spot(nb).alias("b"), F.lit(1).alias("side"), "id", "vec")
+    nb = blocks(base)
+    if queries is None:
+        tiles = nb * (nb + 1) // 2
+        sent = base.withColumn("own", spot(nb)).withColumn("other", every(nb))
+        sent = sent.select(F.least("own", "other").alias("q"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "vec")
+    else:
+        asked = queries.select("id", F.col("vec").cast("array<double>").alias("vec"))
+        nq = blocks(asked)
+        tiles = nq * nb
+        left = asked.select(spot(nq).alias("q"), every(nb).alias("b"), F.lit(0).alias("side"), "id", "vec")
+        sent = left.unionByName(base.select(every(nq).alias("q"), spot(nb).alias("b"), F.lit(1).alias("side"), "id", "vec"))
+    mutual = queries is None
 
     def tile(t: pa.Table) -> pa.Table:
         side, ids = t["side"].to_numpy(), t["id"].to_numpy()
         x = np.array(t["vec"].combine_chunks().flatten()).reshape(len(ids), -1) if len(ids) else np.zeros((0, 1))
         n = np.linalg.norm(x, axis=1)
         x = x / np.where(n > 0, n, 1)[:, None]
-        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        b = b[np.argsort(ids[b], kind="stable")]
-        src, dst, sim = [], [], []
-        for i in range(0, len(a), 256):
-            own = a[i : i + 256]
-            s = np.round(x[own] @ x[b].T, 6)
-            if not with_self:
-                s[ids[own][:, None] == ids[b][None, :]] = -np.inf
-            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            value = np.take_along_axis(s, top, axis=1)
-            keep = np.isfinite(value)
-            src.append(np.repeat(ids[own], keep.sum(axis=1)))
-            dst.append(ids[b][top[keep]])
-            sim.append(value[keep])
-        cat = lambda parts, t: np.concatenate(parts) if parts else np.zeros(0, t)
-        return pa.table({"src": pa.array(cat(src, np.int64), pa.int64()), "dst": pa.array(cat(dst, np.int64), pa.int64()), "similarity": pa.array(cat(sim, float), pa.float64())})
-
-    found = left.unionByName(right).groupBy("q", "b").applyInArrow(tile, "src long, dst long, similarity double")
+        order = np.argsort(ids, kind="stable")
+        order = order[np.isfinite(x[order]).all(axis=1)]
+        a, b = order[side[order] == 0], order[side[order] == 1]
+        todo = [(a, b)]
+        if mutual:
+            todo = [(a, b), (b, a)] if t["q"][0].as_py() != t["b"][0].as_py() else [(a, a)]
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for left, right in todo:
+            meets = np.zeros(len(left), bool) if with_self else np.isin(ids[left], ids[right])
+            for i in range(0, len(left), 128):
+                own = left[i : i + 128]
+                same = meets[i : i + 128].any()
+                row, dst, sim = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+                least = np.full(len(own), -np.inf)
+                for j in range(0, len(right), 1024):
+                    part = right[j : j + 1024]
+                    s = x[own] @ x[part].T
+                    if same:
+                        s[ids[own][:, None] == ids[part][None, :]] = -np.inf
+                    # a later part has larger ids, so a row that is full gives way to larger rounded values only
+                    bar = least + 4e-7
+                    if len(part) > k and not np.isfinite(least).all():
+                        bar = np.maximum(bar, np.partition(s, len(part) - k, axis=1)[:, len(part) - k] - 1.1e-6)
+                    r, c = np.nonzero(s >= bar[:, None])
+                    if not len(r):
+                        continue
+                    row, dst, sim = np.append(row, r), np.append(dst, ids[part[c]]), np.append(sim, np.round(s[r, c], 6))
+                    best = np.lexsort((dst, -sim, row))
+                    first = np.searchsorted(row[best], np.arange(len(own)))
+                    best = best[(np.arange(len(best)) - first[row[best]] < k) & np.isfinite(sim[best])]
+                    row, dst, sim = row[best], dst[best], sim[best]
+                    full = np.bincount(row, minlength=len(own)) == k
+                    last = np.searchsorted(row, np.arange(len(own)), side="right") - 1
+                    least[full] = sim[last[full]]
+                out.append((ids[own][row], dst, sim))
+        src, dst, sim = (np.concatenate(v) for v in zip(*out))
+        return pa.table({"src": src.astype(np.int64), "dst": dst.astype(np.int64), "similarity": sim})
+
+    found = sent.repartition(min(tiles, 2000), "q", "b").groupBy("q", "b").applyInArrow(tile, "src long, dst long, similarity double")
     order = W.partitionBy("src").orderBy(F.desc("similarity"), "dst")
     return found.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
 
@@ -92,10 +122,9 @@ def mutual_ranks(vectors: DataFrame, k: int) -> DataFrame:
 
     Ranks count from 0 and include a vector's own place in its list.
     """
-    e = nearest(vectors, k, with_self=True)
-    f = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("similarity").alias("s2"), F.col("rank").alias("r2"))
-    both = e.join(f, ["src", "dst"]).where("src < dst")
-    return both.select("src", "dst", F.round(((F.col("similarity") + F.col("s2")) / 2) / (F.col("rank") + F.col("r2") + 2), 9).alias("weight"))
+    e = nearest(vectors, k, with_self=True).where("src <> dst")
+    both = e.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.avg("similarity").alias("similarity"), F.avg("rank").alias("rank"), F.countDistinct("src").alias("n"))
+    return both.where("n = 2").select("src", "dst", F.round(F.col("similarity") / (2 * F.col("rank") + 2), 9).alias("weight"))
 
 
 def edges_within(neighbors: DataFrame, distance: float) -> DataFrame:
